@@ -27,3 +27,12 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     best = F.max(F.struct(*order, *rest)).alias("_best")
     picked = df.groupBy(*keys).agg(best).select(*keys, "_best.*")
     return picked.select(*df.columns)
+
+
+def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
+    """One row holding the columns of several one-row frames, without a cross join."""
+    names = [c for frame in one_row_frames for c in frame.columns]
+    stacked = one_row_frames[0]
+    for frame in one_row_frames[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*(F.max(name).alias(name) for name in names))
