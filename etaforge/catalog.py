@@ -37,6 +37,8 @@ AS_OF = "2000-06-01 00:00:00"
 DRIFT_SPLIT = "1998-04-01 00:00:00"
 EVENT_SPLIT = "2024-01-21 00:00:00"
 STORED_AT = {"rule-1": "2024-01-02 00:00:00", "rule-2": "2024-01-03 00:00:00"}
+# The test data spread few orders over six years; days would make thousands of tiny files.
+PERIOD = "year"
 SMALL_GBT = {"maxIter": 10, "maxDepth": 4}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -537,7 +539,7 @@ def _scored(spark, root) -> DataFrame:
 
 def _predictions(spark, root) -> DataFrame:
     stored = clock.add_seconds(F.col("stored_from"), F.col("order_id") % 86_400)
-    return scoring.as_predictions(_scored(spark, root), stored)
+    return scoring.as_predictions(_scored(spark, root), stored, period=PERIOD)
 
 
 def _errors(spark, root) -> DataFrame:
@@ -907,13 +909,10 @@ def stream_score(spark, root):
     snapshot = write_through(_online(spark, root), "online")
     jobs.stream_scoring(
         sinks.as_stream(requests, "requests"), snapshot, scoring.rule_scores, out, f"{out}-rejects",
-        checkpoint, _ts(AS_OF), _ts("2024-01-01 00:00:00"),
+        checkpoint, _ts(AS_OF), _ts("2024-01-01 00:00:00"), PERIOD,
     )
-    schema = (
-        "order_id bigint, store_id bigint, predicted_delivery_minutes double, "
-        "prediction_timestamp timestamp"
-    )
-    return _round(spark.read.schema(schema).parquet(out), "predicted_delivery_minutes")
+    columns = ["order_id", "store_id", "predicted_delivery_minutes", "prediction_timestamp"]
+    return _round(spark.read.parquet(out).select(*columns), "predicted_delivery_minutes")
 
 
 @registered

@@ -6,16 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fanout_left_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+HOT_ROWS = 1_000_000
+
+
+def fanout_left_join(
+    left: DataFrame, right: DataFrame, on: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """LEFT JOIN where `right` may hold very many rows for one key.
 
-    AQE cannot split the right side of an outer join. So matched rows come from an inner join,
-    where it splits both sides, and unmatched rows from an anti join against the distinct keys
-    of `right`, which map-side combining keeps small.
+    AQE cannot split the right side of an outer join, so hot keys are salted here: a key with n
+    rows on the right gets ceil(n / hot_rows) salts, and only its left rows are repeated, once
+    per salt. The hot-key table has at most (rows of `right`) / hot_rows rows, which bounds what
+    is broadcast. A hot key matches by definition, so an empty salt of a hot key is no result.
     """
-    matched = left.join(right, on, "inner")
-    unmatched = left.join(right.select(on).distinct(), on, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    hot = (
+        right.groupBy(on)
+        .agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias("_salts"))
+        .where((F.col("_salts") > 1) & F.col(on).isNotNull())
+    )
+    salts = F.coalesce("_salts", F.lit(1))
+    # Row content plus task number: copies of one row in different tasks get different salts,
+    # and a retried task gives each row the same salt again.
+    spread = F.xxhash64(*right.columns, F.spark_partition_id())
+    salted_right = (
+        right.withColumn("_spread", spread)
+        .join(F.broadcast(hot), on, "left")
+        .withColumn("_salt", F.pmod("_spread", salts).cast("int"))
+        .withColumn("_matched", F.lit(True))
+        .drop("_spread", "_salts")
+    )
+    salted_left = left.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
+    )
+    return (
+        salted_left.join(salted_right, [on, "_salt"], "left")
+        .where(F.col("_salts").isNull() | F.col("_matched").isNotNull())
+        .drop("_salt", "_salts", "_matched")
+    )
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -49,6 +49,9 @@ def _running_end(keys: list[str], order: str, count: str) -> Column:
     )
 
 
+RANK_KEYS = ["feature", "probability", "position", "rank"]
+
+
 # --- quantiles -------------------------------------------------------------------------------
 
 
@@ -72,22 +75,16 @@ def exact_quantiles(
     )
     asked = ranged.select("*", F.explode(F.array(*map(F.lit, probabilities))).alias("probability"))
     position = _position(F.col("probability"), F.col("total"), method)
-    ranks = asked.select(
-        "*",
-        position.alias("position"),
-        F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))).alias("rank"),
-    ).where((F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end")))
-    wanted = ranks.groupBy("feature", "rank").agg(
-        F.first("low").alias("low"),
-        F.first("high").alias("high"),
-        F.first(F.col("rank") - F.col("end") + F.col("n")).alias("local"),
+    wanted = (
+        asked.withColumn("position", position)
+        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))))
+        .where((F.col("rank") >= F.col("end") - F.col("n")) & (F.col("rank") < F.col("end")))
+        .withColumn("local", F.col("rank") - F.col("end") + F.col("n"))
+        .select(*RANK_KEYS, "local", "low", "high")
     )
 
     fine = _narrow(values, wanted).groupBy(
-        "feature",
-        "rank",
-        "local",
-        fine_bin(F.col("value"), F.col("low"), F.col("high")).alias("bin"),
+        *RANK_KEYS, "local", fine_bin(F.col("value"), F.col("low"), F.col("high")).alias("bin")
     )
     fine_hits = _hit(
         fine.agg(
@@ -96,18 +93,16 @@ def exact_quantiles(
         "bin",
     )
     singles = (
-        _narrow(values, fine_hits.select("feature", "rank", "local", "low", "high"))
-        .groupBy("feature", "rank", "local", "value")
+        _narrow(values, fine_hits.select(*RANK_KEYS, "local", "low", "high"))
+        .groupBy(*RANK_KEYS, "local", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    found = _hit(singles, "value").select("feature", "rank", "value")
 
     # Both neighbours of an interpolated position, back together.
     fraction = F.first(F.col("position") - F.floor("position"))
     low, high = F.min_by("value", "rank"), F.max_by("value", "rank")
     return (
-        ranks.select("feature", "probability", "position", "rank")
-        .join(F.broadcast(found), ["feature", "rank"])
+        _hit(singles, "value")
         .groupBy("feature", "probability")
         .agg((low + (high - low) * fraction).alias("quantile"))
     )
@@ -132,7 +127,7 @@ def _narrow(values: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def _hit(groups: DataFrame, order: str) -> DataFrame:
     """The group that holds the wanted rank, with the rank counted from the group's start."""
-    end = _running_end(["feature", "rank"], order, "n")
+    end = _running_end(RANK_KEYS, order, "n")
     return (
         groups.withColumn("end", end)
         .where((F.col("local") >= F.col("end") - F.col("n")) & (F.col("local") < F.col("end")))
@@ -170,25 +165,31 @@ def ks_distance(df: DataFrame, columns: list[str], side: str = "side") -> DataFr
         )
     )
     whole = Window.partitionBy("feature")
-    gap = F.try_divide("r_end", "n_ref") - F.try_divide("c_end", "n_cur")
-    start = gap - F.try_divide("r", "n_ref") + F.try_divide("c", "n_cur")
-    bins = (
-        bins.withColumns({"n_ref": F.sum("r").over(whole), "n_cur": F.sum("c").over(whole)})
-        .withColumns({"gap": gap, "start": start})
-        .withColumn("edge_max", F.max(F.abs("gap")).over(whole))
+    bins = bins.withColumns(
+        {"n_ref": F.sum("r").over(whole), "n_cur": F.sum("c").over(whole)}
+    ).withColumns(
+        {
+            "start": _gap(F.col("r_end") - F.col("r"), F.col("c_end") - F.col("c")),
+            "edge_max": F.max(F.abs(_gap(F.col("r_end"), F.col("c_end")))).over(whole),
+            "ref_mean": F.try_divide(F.sum("sum_ref").over(whole), F.col("n_ref")),
+            "cur_mean": F.try_divide(F.sum("sum_cur").over(whole), F.col("n_cur")),
+        }
     )
     bound = F.greatest(
         F.abs(F.col("start") + F.try_divide("r", "n_ref")),
         F.abs(F.col("start") - F.try_divide("c", "n_cur")),
     )
-    open_bins = bins.where((bound > F.col("edge_max")) & (F.col("low") < F.col("high"))).select(
-        F.col("feature").alias("_feature"), "bin", "low", "high", "start", "n_ref", "n_cur"
-    )
+    first_bin = (F.col("r_end") == F.col("r")) & (F.col("c_end") == F.col("c"))
+    # The first bin is kept in any case, so that every feature has a row to carry its facts.
+    open_bins = bins.where(first_bin | ((bound > F.col("edge_max")) & (F.col("low") < F.col("high"))))
+    facts = ["n_ref", "n_cur", "ref_mean", "cur_mean", "edge_max"]
 
     # Inside open bins: per fine bin, where the gap peaks relative to the fine bin's own start.
     counted = (
         values.join(
-            F.broadcast(open_bins),  # at most features x coarse bins rows
+            F.broadcast(  # at most features x coarse bins rows
+                open_bins.select(F.col("feature").alias("_feature"), "bin", "low", "high", "start", *facts)
+            ),
             (F.col("feature") == F.col("_feature"))
             & (coarse_bin(F.col("value")) == F.col("bin")),
         )
@@ -196,14 +197,13 @@ def ks_distance(df: DataFrame, columns: list[str], side: str = "side") -> DataFr
             "feature",
             "bin",
             "start",
-            "n_ref",
-            "n_cur",
+            *facts,
             fine_bin(F.col("value"), F.col("low"), F.col("high")).alias("fine"),
             "value",
         )
         .agg(F.count_if("is_ref").alias("r"), F.count_if(~F.col("is_ref")).alias("c"))
     )
-    step = F.col("r") / F.col("n_ref") - F.col("c") / F.col("n_cur")
+    step = _gap(F.col("r"), F.col("c"))
     fine_keys = ["feature", "bin", "fine"]
     moved = F.sum("step").over(
         Window.partitionBy(*fine_keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
@@ -211,48 +211,34 @@ def ks_distance(df: DataFrame, columns: list[str], side: str = "side") -> DataFr
     peaks = (
         counted.withColumn("step", step)
         .withColumn("moved", moved)
-        .groupBy(*fine_keys, "start")
+        .groupBy(*fine_keys, "start", *facts)
         .agg(
             F.sum("step").alias("step"),
             F.min("moved").alias("lowest"),
             F.max("moved").alias("highest"),
         )
     )
-    offset = F.col("start") + F.coalesce(
-        F.sum("step").over(
-            Window.partitionBy("feature", "bin")
-            .orderBy("fine")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0.0),
+    before = Window.partitionBy("feature", "bin").orderBy("fine").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    offset = F.col("start") + F.coalesce(F.sum("step").over(before), F.lit(0.0))
+    peak = F.greatest(
+        F.abs(F.col("offset") + F.col("lowest")), F.abs(F.col("offset") + F.col("highest"))
     )
-    inner = (
+    return (
         peaks.withColumn("offset", offset)
-        .groupBy("feature")
-        .agg(
-            F.max(
-                F.greatest(
-                    F.abs(F.col("offset") + F.col("lowest")),
-                    F.abs(F.col("offset") + F.col("highest")),
-                )
-            ).alias("inner_max")
+        .groupBy("feature", *facts)
+        .agg(F.max(peak).alias("peak"))
+        .select(
+            "feature",
+            *facts[:-1],
+            F.coalesce(F.greatest("edge_max", "peak"), F.lit(0.0)).alias("d"),
         )
     )
-    totals = bins.groupBy("feature").agg(
-        F.first("n_ref").alias("n_ref"),
-        F.first("n_cur").alias("n_cur"),
-        (F.sum("sum_ref") / F.first(F.nullif("n_ref", F.lit(0)))).alias("ref_mean"),
-        (F.sum("sum_cur") / F.first(F.nullif("n_cur", F.lit(0)))).alias("cur_mean"),
-        F.first("edge_max").alias("edge_max"),
-    )
-    return totals.join(F.broadcast(inner), "feature", "left").select(
-        "feature",
-        "n_ref",
-        "n_cur",
-        "ref_mean",
-        "cur_mean",
-        F.greatest("edge_max", F.coalesce("inner_max", F.lit(0.0))).alias("d"),
-    )
+
+
+def _gap(r: Column, c: Column) -> Column:
+    return F.try_divide(r, F.col("n_ref")) - F.try_divide(c, F.col("n_cur"))
 
 
 def ks_p_value(d: Column, n_ref: Column, n_cur: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from etaforge.functions.guards import model_inputs
 from etaforge.operators.accuracy import regression_metrics
 from etaforge.operators.registry import TRAINING_FEATURES
-from etaforge.session import shared_root
+from etaforge.session import shared_root, write_through
 from etaforge.sources.keyed import append_log
 
 LABEL = "delivery_time_minutes"
@@ -83,16 +83,14 @@ def run_training(
     **params,
 ) -> TrainingRun:
     """Split, fit, evaluate, save, register. Raises when there is no data."""
-    data = with_split(training_set.select("order_id", LABEL, *features)).persist()
-    try:
-        counts = data.agg(F.count_if("is_test").alias("test"), F.count(F.lit(1)).alias("all")).first()
-        if counts["all"] == 0:
-            raise ValueError("no training data")
-        model = fit(data.where(~F.col("is_test")), features, **params)
-        scored = predict(model, data.where("is_test"), features)
-        found = regression_metrics(scored, LABEL, "predicted_delivery_minutes").first()
-    finally:
-        data.unpersist()
+    # Stored once: fitting reads it many times, and a lost executor must not recompute features.
+    data = write_through(with_split(training_set.select("order_id", LABEL, *features)), "training")
+    counts = data.agg(F.count_if("is_test").alias("test"), F.count(F.lit(1)).alias("all")).first()
+    if counts["all"] == 0:
+        raise ValueError("no training data")
+    model = fit(data.where(~F.col("is_test")), features, **params)
+    scored = predict(model, data.where("is_test"), features)
+    found = regression_metrics(scored, LABEL, "predicted_delivery_minutes").first()
     metrics = {
         "mae": found["mae"],
         "rmse": found["rmse"],

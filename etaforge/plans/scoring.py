@@ -85,9 +85,12 @@ def rule_scores(features: DataFrame, version: str = "rule-1", shift: float = 0.0
     )
 
 
-def as_predictions(scored: DataFrame, created_at: Column | None = None, seq: int = 0) -> DataFrame:
+def as_predictions(
+    scored: DataFrame, created_at: Column | None = None, seq: int = 0, period: str = "day"
+) -> DataFrame:
     """Rows of the prediction table. The prediction time is the order's own creation time, so
-    an order always falls into the same partition; `prediction_id` is a hash of the unique key."""
+    an order always falls into the same partition; `prediction_id` is a hash of the unique key.
+    `period` (day, week, month, year) sizes the partitions: an upsert rewrites the ones it touches."""
     made = F.current_timestamp() if created_at is None else created_at
     return scored.select(
         F.xxhash64("order_id", "model_version").alias("prediction_id"),
@@ -100,7 +103,7 @@ def as_predictions(scored: DataFrame, created_at: Column | None = None, seq: int
         encode_features(MODEL_FEATURES).alias("features_json"),
         made.alias("created_at"),
         F.lit(seq).cast("long").alias("seq"),
-        F.to_date("created_at").alias("prediction_date"),
+        F.to_date(F.date_trunc(period, "created_at")).alias("prediction_period"),
     )
 
 
@@ -125,11 +128,12 @@ def score_batch(
     online: DataFrame | None = None,
     now: Column | None = None,
     created_at: Column | None = None,
+    period: str = "day",
 ) -> tuple[DataFrame, DataFrame]:
     """`(predictions, rejects)` for confirmed orders; `score` maps a feature frame to a scored one."""
     checked = with_reasons(confirmed_orders(tables, limit), scoring_rules())
     features = inference_features(valid_rows(checked), delivered(tables.orders), online, now)
-    return as_predictions(score(features), created_at), rejected_rows(checked)
+    return as_predictions(score(features), created_at, period=period), rejected_rows(checked)
 
 
 REQUEST_ORDERS = (

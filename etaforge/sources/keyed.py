@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from etaforge.operators.joins import latest_per_key
-from etaforge.session import scratch_dir
+from etaforge.session import write_through
 
 PREDICTION_KEY = ["order_id", "model_version"]
 PREDICTION_ORDER = ["created_at", "seq"]
-PREDICTION_PARTITIONS = ["model_version", "prediction_date"]
+PREDICTION_PARTITIONS = ["prediction_period", "model_version"]
 
 
 def merge_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of both frames, the latest per key."""
-    return latest_per_key(old.unionByName(new), keys, order)
+    return latest_per_key(old.unionByName(new.select(*old.columns)), keys, order)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -32,30 +32,35 @@ def upsert(
 ) -> None:
     """Merge `updates` into the table at `path`; running it again changes nothing.
 
-    A key must always fall into the same partition, as a prediction does: its date is the
-    order's own creation date. Only touched partitions are read, merged into a staging folder
-    and swapped in by dynamic partition overwrite; the table never is source and target of one
-    job, and a failure before the swap leaves it as it was.
+    A key must always fall into the same partition, as a prediction does: its period is that of
+    the order's own creation. Only touched partitions are read, merged into a staging folder and
+    swapped in by dynamic partition overwrite; the table never is source and target of one job,
+    and a failure before the swap leaves it as it was.
     """
     spark = updates.sparkSession
-    columns = [c for c in updates.columns if c not in partitions] + partitions
-    fresh = scratch_dir(spark, "upsert-new")
-    latest_per_key(updates.select(*columns), keys, order).write.partitionBy(*partitions).parquet(fresh)
-    new = spark.read.schema(_schema(updates, columns)).parquet(fresh)
+    new = write_through(latest_per_key(updates, keys, order), "upsert-new")
     if path_exists(spark, path):
-        table = spark.read.schema(new.schema).parquet(path)
-        # One row per partition of the new data, bounded by dates x versions; a dynamic
-        # partition filter on the scan of the table.
-        touched = F.broadcast(new.select(*partitions).distinct())
-        kept = table.join(touched, partitions, "left_semi").select(*columns)
-        staged = scratch_dir(spark, "upsert-merged")
-        merge_latest(kept, new, keys, order).write.partitionBy(*partitions).parquet(staged)
-        new = spark.read.schema(new.schema).parquet(staged)
-    replace_partitions(new, path, partitions)
-
-
-def _schema(df: DataFrame, columns: list[str]):
-    return df.select(*columns).schema
+        old = spark.read.schema(new.schema).parquet(path).where(_touched(new, partitions))
+        new = write_through(merge_latest(old, new, keys, order), "upsert-merged")
+    # Rows of one partition meet in few tasks, and AQE splits the partitions that are too large
+    # for one: neither tiny files from every task nor one huge writer.
+    replace_partitions(new.hint("rebalance", *partitions), path, partitions)
+
+
+def _touched(new: DataFrame, partitions: list[str]) -> Column:
+    """Literal filter on the table partitions `new` has rows for, so that the scan lists and reads
+    only those. The driver sees one row per partition, as it does when it lists the table."""
+    first, *rest = partitions
+    groups: dict = {}
+    for row in new.select(*partitions).distinct().collect():
+        groups.setdefault(tuple(row[c] for c in rest), []).append(row[first])
+    keep = F.lit(False)
+    for others, firsts in groups.items():
+        same = F.col(first).isin(firsts)
+        for column, value in zip(rest, others, strict=True):
+            same = same & (F.col(column) == F.lit(value))
+        keep = keep | same
+    return keep
 
 
 def replace_partitions(df: DataFrame, path: str, partitions: list[str]) -> None:

@@ -26,7 +26,7 @@ DEFAULT_DELAY = "1 hour"
 
 
 def score_requests(
-    requests: DataFrame, online: DataFrame, score, now, created_at
+    requests: DataFrame, online: DataFrame, score, now, created_at=None, period: str = "day"
 ) -> tuple[DataFrame, DataFrame]:
     """Parsed orders to `(predictions, rejects)` with features of the online snapshot.
 
@@ -36,7 +36,8 @@ def score_requests(
     good = lookup(valid_rows(checked), online, "restaurant", "store_id", STORE_FEATURES, now)
     good = lookup(good, online, "customer", "customer_id", CUSTOMER_FEATURES, now)
     good = good.fillna(0.0, [*STORE_FEATURES, *CUSTOMER_FEATURES])
-    return as_predictions(score(with_order_features(good)), created_at), rejected_rows(checked)
+    scored = score(with_order_features(good))
+    return as_predictions(scored, created_at, period=period), rejected_rows(checked)
 
 
 def stream_scoring(
@@ -48,11 +49,12 @@ def stream_scoring(
     checkpoint: str,
     now,
     created_at=None,
+    period: str = "day",
 ) -> StreamingQuery:
     """Score a stream of orders into the prediction table; rejects are kept with their reasons."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        predictions, rejects = score_requests(batch, online, score, now, created_at)
+        predictions, rejects = score_requests(batch, online, score, now, created_at, period)
         upsert(predictions, predictions_path)
         store_batch(rejects, batch_id, rejects_path)
 
