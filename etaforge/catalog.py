@@ -68,6 +68,11 @@ def _ts(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
 
+def _named_tables(spark, root) -> dict[str, DataFrame]:
+    t = commerce.tables(spark, root)
+    return {"orders": t.orders, "stores": t.stores, "order_items": t.order_items}
+
+
 # --- scans and scalar functions --------------------------------------------------------------
 
 
@@ -78,10 +83,7 @@ def scan_orders(spark, root):
 
 @registered
 def table_profile(spark, root):
-    t = commerce.tables(spark, root)
-    orders = t.orders.select("order_id", "customer_id", "store_id", "total")
-    tables = {"orders": orders, "stores": t.stores.select("store_id"), "order_items": t.order_items}
-    return profile.profile_tables(tables)
+    return profile.profile_tables(_named_tables(spark, root))
 
 
 @registered
@@ -96,8 +98,7 @@ def required_columns(spark, root):
 
 @registered
 def csv_roundtrip(spark, root):
-    t = commerce.tables(spark, root)
-    tables = {"orders": t.orders, "stores": t.stores, "order_items": t.order_items}
+    tables = _named_tables(spark, root)
     paths = keyed.export_csv(tables, scratch_dir(spark, "csv"))
     sums = {"orders": "total", "stores": "store_id", "order_items": "quantity"}
     out = None
@@ -141,7 +142,7 @@ def delivery_minutes(spark, root):
 def training_base(spark, root):
     """The newest order is left out: the end of the range is the latest creation time."""
     orders = commerce.orders(spark, root)
-    newest = commerce.orders(spark, root, with_store=False).agg(F.max("created_at")).first()[0]
+    newest = feats.latest_creation(commerce.orders(spark, root, with_store=False))
     base = feats.training_base(orders, "1995-01-01 00:00:00", newest)
     return _round(
         base.select("order_id", "customer_id", "store_id", "created_at", "delivery_time_minutes"),
@@ -293,11 +294,6 @@ MAPPING = {
 }
 
 
-def _named_tables(spark, root) -> dict[str, DataFrame]:
-    t = commerce.tables(spark, root)
-    return {"orders": t.orders, "stores": t.stores, "order_items": t.order_items}
-
-
 @registered
 def conformed_orders(spark, root):
     return conform_orders(_named_tables(spark, root), MAPPING, view="orders_conformed")

@@ -52,6 +52,11 @@ def training_base(orders: DataFrame, start: str | None = None, end: str | None =
     return base
 
 
+def latest_creation(orders: DataFrame) -> str:
+    """The newest creation time as text: the (exclusive) end of a default training range."""
+    return orders.agg(F.max("created_at").cast("string")).first()[0]
+
+
 def store_aggs(window_days: int = 30) -> list[RollingAgg]:
     return [
         RollingAgg(f"restaurant_avg_delivery_minutes_{window_days}d", "mean", window_days),

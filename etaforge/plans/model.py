@@ -38,7 +38,8 @@ def with_time_split(df: DataFrame, at: str, column: str = "created_at") -> DataF
 def fit(train: DataFrame, features: list[str] = TRAINING_FEATURES, **params) -> PipelineModel:
     """Fit on rows with a label; missing features are -1. `params` go to the regressor."""
     spark = train.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_root(spark))  # cuts the boosting lineage
+    if spark.sparkContext.getCheckpointDir() is None:  # where boosting cuts its lineage
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     ready = model_inputs(train.where(F.col(LABEL).isNotNull()), features).select(*features, LABEL)
     stages = [
         VectorAssembler(inputCols=features, outputCol="features"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The columns a conformed order table must have.
@@ -87,9 +87,25 @@ def sample_rows(df: DataFrame, order: list[str], n: int = 3) -> DataFrame:
 
 
 def required_columns(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> DataFrame:
-    """`(column_name, status)`: present, missing or extra."""
-    have = {c.lower() for c in df.columns}
-    rows = [(c, "present" if c in have else "missing") for c in required]
-    rows += [(c, "extra") for c in df.columns if c.lower() not in set(required)]
-    spark: SparkSession = df.sparkSession
-    return spark.createDataFrame(rows, "column_name string, status string")
+    """`(column_name, status, null_count)`: present, missing or extra columns; one aggregate."""
+    have = {c.lower(): c for c in df.columns}
+    status = {c: "present" if c in have else "missing" for c in required}
+    status |= {c: "extra" for c in df.columns if c.lower() not in status}
+    nulls = df.agg(
+        *(
+            F.count_if(F.col(have[c.lower()]).isNull()).alias(c)
+            for c in status
+            if c.lower() in have
+        )
+    )
+    cells = F.array(
+        *(
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.lit(s).alias("status"),
+                (F.lit(None) if s == "missing" else F.col(c)).cast("long").alias("null_count"),
+            )
+            for c, s in status.items()
+        )
+    )
+    return nulls.select(F.inline(cells))

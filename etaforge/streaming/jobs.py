@@ -20,6 +20,7 @@ from etaforge.sources.keyed import path_exists, upsert
 from etaforge.streaming.sinks import drain, read_batches, read_latest, run_batches, store_batch
 
 DEFAULT_DELAY = "1 hour"
+DEDUP_GROUPS = 64
 
 
 # --- scoring ---------------------------------------------------------------------------------
@@ -232,10 +233,19 @@ def stream_actuals_match(
 def stream_dedup(
     predictions: DataFrame, path: str, checkpoint: str, delay: str = DEFAULT_DELAY
 ) -> StreamingQuery:
-    """The first copy of each (order, model version) within the watermark."""
-    unique = predictions.withWatermark(
-        "prediction_timestamp", delay
-    ).dropDuplicatesWithinWatermark(["order_id", "model_version"])
+    """The first copy of each (order, model version) within the watermark.
+
+    Two steps: per source task group, then overall. However many copies one key has, only one
+    per group reaches the task that owns the key.
+    """
+    key = ["order_id", "model_version"]
+    unique = (
+        predictions.withWatermark("prediction_timestamp", delay)
+        .withColumn("_group", F.spark_partition_id() % DEDUP_GROUPS)
+        .dropDuplicatesWithinWatermark([*key, "_group"])
+        .drop("_group")
+        .dropDuplicatesWithinWatermark(key)
+    )
     return drain(unique.writeStream.format("parquet").option("path", path), checkpoint)
 
 

@@ -334,20 +334,26 @@ def statements() -> dict[str, str]:
         case when o.total < 50000 then 'small total' end,
         case when o.confirmed_at is null then 'unconfirmed' end) as reasons
     from fx_orders o left join fx_stores s on s.store_id=o.store_id""")
-    out["required_columns"] = """
-    select * from (values ('order_id','present'),('customer_id','present'),
-      ('store_id','present'),('created_at','present'),('delivered_at','present'),
-      ('latitude','missing'),('longitude','missing'),('delivery_latitude','present'),
-      ('delivery_longitude','present'),('total','present'),('quantity','missing'),
-      ('confirmed_at','extra')) t(column_name, status)"""
+    out["required_columns"] = query("""
+    select c as column_name, s as status, n as null_count from (
+      select unnest(['order_id','customer_id','store_id','created_at','delivered_at','latitude',
+          'longitude','delivery_latitude','delivery_longitude','total','quantity',
+          'confirmed_at']) as c,
+        unnest(['present','present','present','present','present','missing','missing','present',
+          'present','present','missing','extra']) as s,
+        unnest([0, 0, count(*)-count(store_id), 0, count(*)-count(delivered_at), null, null, 0, 0,
+          0, null, count(*)-count(confirmed_at)]) as n
+      from fx_orders)""")
     profile = []
     for table, source, columns in (
-        ("order_items", "fx_items", [("order_id", "bigint", True), ("quantity", "bigint", False)]),
-        ("orders", "fx_orders", [("order_id", "bigint", True), ("customer_id", "bigint", True),
-                                 ("store_id", "bigint", True), ("total", "bigint", False)]),
-        ("stores", "fx_stores", [("store_id", "bigint", True)]),
+        ("order_items", "fx_items", "order_id bigint, quantity bigint"),
+        ("orders", "fx_orders", "order_id bigint, customer_id bigint, store_id bigint, "
+         "total bigint, created_at timestamp, confirmed_at timestamp, delivered_at timestamp, "
+         "delivery_latitude double, delivery_longitude double"),
+        ("stores", "fx_stores", "store_id bigint, latitude double, longitude double"),
     ):
-        for name, kind, key in columns:
+        for name, kind in (c.split() for c in columns.split(", ")):
+            key = name.endswith("_id")
             distinct = f"count(distinct {name})" if key else "cast(null as bigint)"
             unique = f"count(distinct {name})=count(*)" if key else "false"
             profile.append(f"""

@@ -165,9 +165,9 @@ def test_snapshot_replaces_only_its_own_partition(spark, rows):
 
 
 def test_required_columns(spark):
-    df = spark.range(1).selectExpr("id as ORDER_ID", "id as colour")
-    got = {r.column_name: r.status for r in profile.required_columns(df, ["order_id", "total"]).collect()}
-    assert got == {"order_id": "present", "total": "missing", "colour": "extra"}
+    df = spark.range(2).selectExpr("nullif(id, 1) as ORDER_ID", "id as colour")
+    got = {r[0]: r[1:] for r in profile.required_columns(df, ["order_id", "total"]).collect()}
+    assert got == {"order_id": ("present", 1), "total": ("missing", None), "colour": ("extra", 0)}
 
 
 def test_profile_finds_the_key(rows):
