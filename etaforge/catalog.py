@@ -584,7 +584,7 @@ def upsert_predictions(spark, root):
             "created_at": clock.add_seconds(F.col("created_at"), F.lit(5 * 86_400)),
         }
     )
-    for update in (first, rows.where(F.col("model_version") == "rule-2"), newer, first):
+    for update in (first, rows.where(F.col("model_version") == "rule-2"), newer):
         keyed.upsert(update, path)
     table = spark.read.schema(rows.schema).parquet(path)
     return _round(

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FINE_BINS = 4096
+FINE_BINS = 16_384
 
 
 def unpivot_all(df: DataFrame, columns: list[str], keep: list[Column] = ()) -> DataFrame:

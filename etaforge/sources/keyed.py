@@ -38,10 +38,12 @@ def upsert(
     and a failure before the swap leaves it as it was.
     """
     spark = updates.sparkSession
-    new = write_through(latest_per_key(updates, keys, order), "upsert-new")
     if path_exists(spark, path):
+        new = write_through(updates, "upsert-new")
         old = spark.read.schema(new.schema).parquet(path).where(_touched(new, partitions))
         new = write_through(merge_latest(old, new, keys, order), "upsert-merged")
+    else:
+        new = latest_per_key(updates, keys, order)
     # Rows of one partition meet in few tasks, and AQE splits the partitions that are too large
     # for one: neither tiny files from every task nor one huge writer.
     replace_partitions(new.hint("rebalance", *partitions), path, partitions)
