@@ -515,9 +515,7 @@ QUERIES["feature_freshness"] = QUERIES.pop("feature_freshness_query")
 def _scored(spark, root) -> DataFrame:
     """Delivered orders scored by two versions of the rule, as of their creation times."""
     t = commerce.tables(spark, root)
-    history = feats.delivered(t.orders)
-    located = feats.with_store_location(history, t.stores)
-    features = scoring.inference_features(feats.with_quantity(located, t.order_items), history)
+    features = feats.order_features(feats.delivered(t.orders), t)
     versions = F.array(
         *(
             F.struct(

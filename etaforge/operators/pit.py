@@ -104,11 +104,17 @@ def rolling_features(
     event_time: str,
     value: str,
     aggs: list[RollingAgg],
+    moments: DataFrame | None = None,
 ) -> DataFrame:
-    """`targets` with one column per aggregate. NULL keys match nothing and get zeros."""
+    """`targets` with one column per aggregate. NULL keys match nothing and get zeros.
+
+    `moments` may name any frame with at least the (key, as_of) pairs of `targets`; give one when
+    `targets` is the result of joins that need not run a second time to find those pairs.
+    """
     windows = sorted({agg.window_days for agg in aggs})
     parts = _partials(aggs)
-    seconds = _seconds_with_probes(targets, history, key, as_of, event_time, value, windows, parts)
+    asked = targets if moments is None else moments
+    seconds = _seconds_with_probes(asked, history, key, as_of, event_time, value, windows, parts)
     answers = _window_answers(seconds, windows, parts).select(
         F.col("k").alias("_k"), F.col("t").alias("_t"), *(_result(agg) for agg in aggs)
     )

@@ -72,20 +72,26 @@ def customer_aggs(window_days: int = 30) -> list[RollingAgg]:
 
 
 def with_store_history(
-    targets: DataFrame, history: DataFrame, aggs: list[RollingAgg] | None = None
+    targets: DataFrame,
+    history: DataFrame,
+    aggs: list[RollingAgg] | None = None,
+    moments: DataFrame | None = None,
 ) -> DataFrame:
     return rolling_features(
         targets, history, "store_id", "created_at", "delivered_at", "delivery_time_minutes",
-        aggs or store_aggs(),
+        aggs or store_aggs(), moments,
     )
 
 
 def with_customer_history(
-    targets: DataFrame, history: DataFrame, aggs: list[RollingAgg] | None = None
+    targets: DataFrame,
+    history: DataFrame,
+    aggs: list[RollingAgg] | None = None,
+    moments: DataFrame | None = None,
 ) -> DataFrame:
     return rolling_features(
         targets, history, "customer_id", "created_at", "delivered_at", "delivery_time_minutes",
-        aggs or customer_aggs(),
+        aggs or customer_aggs(), moments,
     )
 
 

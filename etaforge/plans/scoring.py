@@ -30,17 +30,20 @@ MODEL_FEATURES = [
 ]
 
 
+def pending_orders(orders: DataFrame) -> DataFrame:
+    return orders.where(
+        F.col("delivered_at").isNull()
+        & F.col("created_at").isNotNull()
+        & F.col("confirmed_at").isNotNull()
+    )
+
+
 def confirmed_orders(tables: DeliveryTables, limit: int | None = None) -> DataFrame:
     """Confirmed, undelivered orders of located stores with their quantity.
 
     With a limit: the newest orders. The limit applies before item quantities are joined.
     """
-    pending = tables.orders.where(
-        F.col("delivered_at").isNull()
-        & F.col("created_at").isNotNull()
-        & F.col("confirmed_at").isNotNull()
-    )
-    located = with_store_location(pending, tables.stores).where(
+    located = with_store_location(pending_orders(tables.orders), tables.stores).where(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     )
     if limit:
@@ -52,11 +55,18 @@ def confirmed_orders(tables: DeliveryTables, limit: int | None = None) -> DataFr
 
 
 def inference_features(
-    requests: DataFrame, history: DataFrame, online: DataFrame | None = None, now: Column | None = None
+    requests: DataFrame,
+    history: DataFrame,
+    online: DataFrame | None = None,
+    now: Column | None = None,
+    moments: DataFrame | None = None,
 ) -> DataFrame:
-    """Requests with all model features: cached entity values first, computed ones else."""
-    out = with_store_history(requests, history, store_aggs())
-    out = with_customer_history(out, history, customer_aggs()[:1])
+    """Requests with all model features: cached entity values first, computed ones else.
+
+    `moments`: a cheaper frame that holds the requests' keys and times, see `rolling_features`.
+    """
+    out = with_store_history(requests, history, store_aggs(), moments)
+    out = with_customer_history(out, history, customer_aggs()[:1], moments)
     if online is not None:
         names = (*STORE_FEATURES, *CUSTOMER_FEATURES)
         out = out.withColumnsRenamed({n: f"computed_{n}" for n in names})
@@ -132,7 +142,10 @@ def score_batch(
 ) -> tuple[DataFrame, DataFrame]:
     """`(predictions, rejects)` for confirmed orders; `score` maps a feature frame to a scored one."""
     checked = with_reasons(confirmed_orders(tables, limit), scoring_rules())
-    features = inference_features(valid_rows(checked), delivered(tables.orders), online, now)
+    # With a limit the few orders themselves are the cheaper source of moments.
+    moments = None if limit else pending_orders(tables.orders)
+    history = delivered(tables.orders)
+    features = inference_features(valid_rows(checked), history, online, now, moments)
     return as_predictions(score(features), created_at, period=period), rejected_rows(checked)
 
 

@@ -105,6 +105,13 @@ def test_copies_of_a_target_each_get_the_answer(rows):
     assert [r.restaurant_order_count_30d for r in out] == [4, 4]
 
 
+def test_moments_may_be_a_superset(rows):
+    orders = rows(EDGES, ORDER)
+    some = orders.where("order_id in ('t1', 't2', 't4')")
+    got = with_store_history(some, delivered(orders), moments=orders).collect()
+    assert {r.order_id: r.restaurant_order_count_30d for r in got} == {"t1": 1, "t2": 4, "t4": 0}
+
+
 def test_no_task_holds_a_whole_key(rows):
     """The history is combined per second before it is shuffled, and never by key alone."""
     orders = rows(EDGES, ORDER)
