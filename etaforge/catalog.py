@@ -220,11 +220,11 @@ def parse_created_at(spark, root):
     )
 
 
-def _batch_requests(spark, root) -> DataFrame:
-    """Batch requests made of the orders: 500 requests, some orders with a bad time, some
-    without coordinates, some with quantity 0."""
-    t = commerce.tables(spark, root)
-    located = feats.with_store_location(t.orders, t.stores)
+REQUEST_SIZE = 20
+
+
+def _batch_requests(orders: DataFrame, times: Column) -> DataFrame:
+    """Batch requests of REQUEST_SIZE consecutive orders each, some with quantity 0."""
     order = F.struct(
         "order_id",
         "customer_id",
@@ -235,34 +235,34 @@ def _batch_requests(spark, root) -> DataFrame:
         "delivery_longitude",
         "total",
         (F.col("order_id") % 4).alias("quantity"),
-        F.when(F.col("order_id") % 11 == 0, "not-a-date")
-        .otherwise(clock.format_iso(F.col("created_at")))
-        .alias("created_at"),
-    )
-    return located.select(
-        (F.col("order_id") % 500).alias("request_id"), F.array(order).alias("orders")
+        times.alias("created_at"),
     )
+    request = F.floor(F.col("order_id") / REQUEST_SIZE).alias("request_id")
+    return orders.groupBy(request).agg(F.collect_list(order).alias("orders"))
+
+
+def _located_orders(spark, root) -> DataFrame:
+    t = commerce.tables(spark, root)
+    return feats.with_store_location(t.orders, t.stores)
 
 
 @registered
 def explode_requests(spark, root):
     """Every order's own time is valid here; bad times are the subject of `batch_outcome`."""
-    t = commerce.orders(spark, root, with_store=False)
-    order = F.struct(
-        "order_id",
-        "customer_id",
-        "total",
-        (F.col("order_id") % 4).alias("quantity"),
-        clock.format_iso(F.col("created_at")).alias("created_at"),
+    requests = _batch_requests(_located_orders(spark, root), clock.format_iso(F.col("created_at")))
+    return scoring.explode_requests(requests).select(
+        "request_id", "order_id", "customer_id", "total", "quantity", "created_at"
     )
-    requests = t.select((F.col("order_id") % 500).alias("request_id"), F.array(order).alias("orders"))
-    return scoring.explode_requests(requests).drop("created_at_text")
 
 
 def _checked_requests(spark, root) -> DataFrame:
     rules = scoring.scoring_rules()
     rules = {k: rules[k] for k in ("no creation time", "no coordinates")}
-    return validate.with_reasons(scoring.explode_requests(_batch_requests(spark, root)), rules)
+    times = F.when(F.col("order_id") % 11 == 0, "not-a-date").otherwise(
+        clock.format_iso(F.col("created_at"))
+    )
+    requests = _batch_requests(_located_orders(spark, root), times)
+    return validate.with_reasons(scoring.explode_requests(requests), rules)
 
 
 @registered

@@ -312,12 +312,12 @@ def statements() -> dict[str, str]:
       case when order_id%11<>0 then strftime(created_at, '%Y-%m-%dT%H:%M:%S') end as iso_text
     from fx_orders""")
     out["explode_requests"] = query("""
-    select order_id%500 as request_id, order_id, customer_id, total,
+    select order_id//20 as request_id, order_id, customer_id, total,
       case when order_id%4=0 then 1 else order_id%4 end as quantity,
       date_trunc('second', created_at) as created_at
     from fx_orders""")
     requests = """
-    select order_id%500 as request_id, order_id,
+    select order_id//20 as request_id, order_id,
       case when order_id%11=0 then 'no creation time'
            when s.latitude is null then 'no coordinates' end as error
     from fx_orders o left join fx_stores s on s.store_id=o.store_id"""
@@ -388,12 +388,12 @@ def statements() -> dict[str, str]:
       'order_id' as parent_column, count(*) as child_rows, count(i.order_id) as child_rows_with_key,
       count(o.order_id) as matched_rows, count(distinct i.order_id) as distinct_keys,
       count(distinct case when o.order_id is null then i.order_id end) as orphan_keys,
-      1 as max_parent_copies
+      1::bigint as max_parent_copies
     from fx_items i left join fx_orders o on o.order_id=i.order_id
     union all
     select 'orders', 'store_id', 'stores', 'store_id', count(*), count(o.store_id),
       count(s.store_id), count(distinct o.store_id),
-      count(distinct case when s.store_id is null then o.store_id end), 1
+      count(distinct case when s.store_id is null then o.store_id end), 1::bigint
     from fx_orders o left join fx_stores s on o.store_id=s.store_id""")
     for name, key, prefix in (("store", "ps", "restaurant"), ("customer", "pc", "customer")):
         out[f"pit_{name}_features"] = query(f"""
