@@ -91,7 +91,8 @@ def _result(agg: RollingAgg) -> Column:
     else:
         n, s, q = piece("nv"), piece("s"), piece("q")
         spread = q - F.try_divide(s * s, n)
-        noise = q * n * 1e-15  # rounding error of the difference; below it the spread is 0
+        # Rounding error of the difference; a spread below it is 0.
+        noise = q * F.least(n * 1e-15, F.lit(1e-12))
         value = F.sqrt(F.try_divide(F.when(spread > noise, spread).otherwise(0.0), n - 1))
     return F.coalesce(value, F.lit(0.0)).alias(agg.name)
 

@@ -42,14 +42,16 @@ def with_store_location(orders: DataFrame, stores: DataFrame) -> DataFrame:
     return orders.join(stores.select("store_id", "latitude", "longitude"), "store_id", "left")
 
 
-def training_base(orders: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Delivered orders created in `[start, end)`."""
+def training_base(
+    orders: DataFrame, start: str | None = None, end: str | None = None, ordered: bool = False
+) -> DataFrame:
+    """Delivered orders created in `[start, end)`; `ordered` sorts by creation time, for a sink."""
     base = delivered(orders)
     if start is not None:
         base = base.where(F.col("created_at") >= F.lit(start).cast("timestamp"))
     if end is not None:
         base = base.where(F.col("created_at") < F.lit(end).cast("timestamp"))
-    return base
+    return base.orderBy("created_at", "order_id") if ordered else base
 
 
 def latest_creation(orders: DataFrame) -> str:

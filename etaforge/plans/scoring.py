@@ -38,20 +38,25 @@ def pending_orders(orders: DataFrame) -> DataFrame:
     )
 
 
-def confirmed_orders(tables: DeliveryTables, limit: int | None = None) -> DataFrame:
+def confirmed_orders(
+    tables: DeliveryTables, limit: int | None = None, ordered: bool = False
+) -> DataFrame:
     """Confirmed, undelivered orders of located stores with their quantity.
 
     With a limit: the newest orders. The limit applies before item quantities are joined.
+    `ordered` sorts the result newest first, for a sink.
     """
+    newest_first = (F.col("created_at").desc(), F.col("order_id"))
     located = with_store_location(pending_orders(tables.orders), tables.stores).where(
         F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     )
     if limit:
-        located = located.orderBy(F.col("created_at").desc(), "order_id").limit(limit)
-    return with_quantity(located, tables.order_items).select(
+        located = located.orderBy(*newest_first).limit(limit)
+    out = with_quantity(located, tables.order_items).select(
         "order_id", "customer_id", "store_id", "created_at", "latitude", "longitude",
         "delivery_latitude", "delivery_longitude", "total", "quantity",
     )
+    return out.orderBy(*newest_first) if ordered else out
 
 
 def inference_features(

@@ -107,6 +107,12 @@ def read_lifecycles(spark: SparkSession, path: str) -> DataFrame:
     return merge_lifecycles(read_batches(spark, path, LIFECYCLE))
 
 
+def compact_lifecycles(spark: SparkSession, path: str, target: str) -> None:
+    """Merge all stored partial rows into one row per order under `target`, to which a stream
+    with a new checkpoint can go on adding batches."""
+    store_batch(read_lifecycles(spark, path), -1, target)
+
+
 # --- rolling store metrics -------------------------------------------------------------------
 
 STORE_DAYS = "store_id bigint, day timestamp, n bigint, minutes double"

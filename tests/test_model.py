@@ -26,6 +26,12 @@ def test_split_is_stable_and_about_a_fifth(training_set):
     assert {r.order_id for r in split.where("is_test").collect()} == {r.order_id for r in moved.collect()}
 
 
+def test_time_split(training_set):
+    dated = training_set.limit(4).selectExpr("*", "timestamp_seconds(order_id) as created_at")
+    split = model.with_time_split(dated, "1970-01-01 00:00:02")
+    assert [r.is_test for r in split.orderBy("order_id").collect()] == [False, False, True, True]
+
+
 def test_run_registers_saves_and_beats_the_mean(spark, training_set):
     home = scratch_dir(spark, "t-models")
     for version, day in (("v2", "2024-01-02"), ("v1", "2024-01-01")):

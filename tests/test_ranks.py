@@ -7,6 +7,7 @@ import pytest
 from etaforge.operators import drift
 from etaforge.operators.monitor import last_rows, request_stats
 from etaforge.operators.ranks import exact_quantiles, ks_distance
+from etaforge.session import write_through
 
 SAMPLES = {
     "uniform": lambda rng: [rng.uniform(0, 100) for _ in range(2001)],
@@ -19,25 +20,39 @@ SAMPLES = {
 }
 
 
-@pytest.mark.parametrize("name", SAMPLES)
-def test_quantiles_are_exact(spark, name):
-    values = SAMPLES[name](random.Random(5))
-    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double")
+@pytest.fixture(scope="module")
+def wide(spark):
+    """Samples of different lengths as the columns of one stored table, padded with NULL."""
+
+    def make(label, columns, side=None):
+        length = max(map(len, columns.values())) + 1
+        padded = [values + [None] * (length - len(values)) for values in columns.values()]
+        data = [(side, *row) for row in zip(*padded)]
+        ddl = "side string, " + ", ".join(f"{name} double" for name in columns)
+        return write_through(spark.createDataFrame(data, ddl), label)
+
+    return make
+
+
+@pytest.mark.parametrize("method", ["linear", "nearest", "index"])
+def test_quantiles_are_exact(wide, method):
+    columns = {name: make(random.Random(5)) + [float("nan")] for name, make in SAMPLES.items()}
     probabilities = [0.0, 0.25, 0.5, 0.95, 1.0]
-    for method in ("linear", "nearest", "index"):
-        got = {
-            r.probability: r.quantile
-            for r in exact_quantiles(df, ["x"], probabilities, method).collect()
-        }
-        ordered = sorted(values)
+    got = {
+        (r.feature, r.probability): r.quantile
+        for r in exact_quantiles(wide("t-q", columns), list(columns), probabilities, method).collect()
+    }
+    assert len(got) == len(columns) * len(probabilities)
+    for name, values in columns.items():
+        ordered = sorted(values[:-1])
         for p in probabilities:
             if method == "linear":
-                want = float(np.quantile(values, p))
+                want = float(np.quantile(ordered, p))
             elif method == "nearest":
-                want = ordered[math.floor(p * (len(values) - 1) + 0.5)]
+                want = ordered[math.floor(p * (len(ordered) - 1) + 0.5)]
             else:
-                want = ordered[min(int(len(values) * p), len(values) - 1)]
-            assert got[p] == pytest.approx(want, rel=1e-12, abs=1e-15), (method, p)
+                want = ordered[min(int(len(ordered) * p), len(ordered) - 1)]
+            assert got[name, p] == pytest.approx(want, rel=1e-12, abs=1e-15), (name, p)
 
 
 def brute_ks(a, b):
@@ -48,15 +63,20 @@ def brute_ks(a, b):
     return float(np.max(np.abs(fa - fb)))
 
 
-@pytest.mark.parametrize("name", SAMPLES)
 @pytest.mark.parametrize("shift", [0.0, 0.3, 1000.0])
-def test_ks_distance_equals_brute_force(spark, name, shift):
-    reference = SAMPLES[name](random.Random(1))
-    current = [v + shift for v in SAMPLES[name](random.Random(2))][: max(1, len(reference) // 2)]
-    data = [("ref", v) for v in reference] + [("cur", v) for v in current]
-    got = ks_distance(spark.createDataFrame(data, "side string, x double"), ["x"]).first()
-    assert got.d == pytest.approx(brute_ks(reference, current), abs=1e-12)
-    assert (got.n_ref, got.n_cur) == (len(reference), len(current))
+def test_ks_distance_equals_brute_force(wide, shift):
+    reference = {name: make(random.Random(1)) for name, make in SAMPLES.items()}
+    current = {
+        name: [v + shift for v in make(random.Random(2))][: max(1, len(reference[name]) // 2)]
+        for name, make in SAMPLES.items()
+    }
+    both = wide("t-ref", reference, "ref").unionByName(wide("t-cur", current, "cur"))
+    got = {r.feature: r for r in ks_distance(both, list(SAMPLES)).collect()}
+    assert set(got) == set(SAMPLES)
+    for name, r in got.items():
+        assert r.d == pytest.approx(brute_ks(reference[name], current[name]), abs=1e-12), name
+        assert (r.n_ref, r.n_cur) == (len(reference[name]), len(current[name]))
+        assert r.ref_mean == pytest.approx(np.mean(reference[name]), rel=1e-9)
 
 
 def samples(spark, reference, current):

@@ -43,6 +43,8 @@ def test_lifecycle_over_batches_and_restart(spark, place):
     for _ in range(2):
         jobs.stream_lifecycle(stream, place("out"), place("ck"))
         assert same_rows(jobs.read_lifecycles(spark, place("out")), want)
+    jobs.compact_lifecycles(spark, place("out"), place("compact"))
+    assert same_rows(jobs.read_lifecycles(spark, place("compact")), want)
     assert want.count() == 200
     done = want.where("order_id = 1").first()
     assert done.delivered_at is not None and done.driver_id == 1 and done.total == 10

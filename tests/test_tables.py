@@ -5,6 +5,7 @@ from etaforge.operators import accuracy, online, validate
 from etaforge.operators.conform import candidate_relationships, conform_orders, relationship_coverage
 from etaforge.operators.joins import fanout_left_join, latest_per_key, side_by_side
 from etaforge.plans import materialize, scoring
+from etaforge.plans.features import latest_creation, training_base
 from etaforge.session import scratch_dir
 from etaforge.sources import keyed, profile
 from etaforge.sources.tables import DeliveryTables
@@ -320,6 +321,16 @@ def test_batch_scoring_with_text_keys(tables):
 
 def test_limit_takes_the_newest(tables):
     assert [r.order_id for r in scoring.confirmed_orders(tables, limit=1).collect()] == ["f"]
+    assert [r.order_id for r in scoring.confirmed_orders(tables, ordered=True).collect()] == ["f", "b"]
+
+
+def test_training_base_is_half_open_and_ordered(rows):
+    orders = rows(
+        [(i, f"2024-01-0{d} 00:00:00", f"2024-01-0{d} 00:30:00") for i, d in enumerate((3, 1, 2))],
+        "order_id bigint, created_at timestamp, delivered_at timestamp",
+    )
+    base = training_base(orders, "2024-01-01 00:00:00", latest_creation(orders), ordered=True)
+    assert [r.order_id for r in base.collect()] == [1, 2]
 
 
 def test_expired_cache_falls_back_to_computed(tables, rows):
