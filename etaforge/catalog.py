@@ -220,25 +220,27 @@ def parse_created_at(spark, root):
     )
 
 
-REQUEST_SIZE = 20
-
-
 def _batch_requests(orders: DataFrame, times: Column) -> DataFrame:
-    """Batch requests of REQUEST_SIZE consecutive orders each, some with quantity 0."""
-    order = F.struct(
-        "order_id",
-        "customer_id",
-        "store_id",
-        "latitude",
-        "longitude",
-        "delivery_latitude",
-        "delivery_longitude",
-        "total",
-        (F.col("order_id") % 4).alias("quantity"),
-        times.alias("created_at"),
-    )
-    request = F.floor(F.col("order_id") / REQUEST_SIZE).alias("request_id")
-    return orders.groupBy(request).agg(F.collect_list(order).alias("orders"))
+    """Chunks of batch requests with two orders each: an order, and a repeat of it under another
+    id and without a quantity. A request is made of the chunks of 20 consecutive orders."""
+
+    def order(number: Column, quantity: Column) -> Column:
+        return F.struct(
+            number.alias("order_id"),
+            "customer_id",
+            "store_id",
+            "latitude",
+            "longitude",
+            "delivery_latitude",
+            "delivery_longitude",
+            "total",
+            quantity.alias("quantity"),
+            times.alias("created_at"),
+        )
+
+    number, nothing = F.col("order_id"), F.lit(None).cast("long")
+    pair = F.array(order(number, number % 4), order(-number - 1, nothing))
+    return orders.select(F.floor(number / 20).alias("request_id"), pair.alias("orders"))
 
 
 def _located_orders(spark, root) -> DataFrame:
@@ -900,9 +902,8 @@ def stream_score(spark, root):
     t = commerce.tables(spark, root)
     requests = feats.with_quantity(feats.with_store_location(t.orders, t.stores), t.order_items)
     out, checkpoint = _paths(spark, "stream-score")
-    snapshot = write_through(_online(spark, root), "online")
     jobs.stream_scoring(
-        sinks.as_stream(requests, "requests"), snapshot, scoring.rule_scores, out, f"{out}-rejects",
+        sinks.as_stream(requests, "requests"), _online(spark, root), scoring.rule_scores, out, f"{out}-rejects",
         checkpoint, _ts(AS_OF), _ts("2024-01-01 00:00:00"), PERIOD,
     )
     columns = ["order_id", "store_id", "predicted_delivery_minutes", "prediction_timestamp"]

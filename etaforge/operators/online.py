@@ -62,30 +62,48 @@ def sync_entity(
     return long_features(named, entity_type, key, list(names.values()), as_of, ttl_seconds)
 
 
-def live(rows: DataFrame, now: Column) -> DataFrame:
-    return rows.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+def by_entity(rows: DataFrame, entity_type: str, names: list[str]) -> DataFrame:
+    """One row per entity: for each name a struct of the last written value and its expiry.
 
+    A map-side combined group-by. A stream does this once, not per batch.
+    """
+    written = {n: F.when(F.col("feature_name") == n, F.col("updated_at")) for n in names}
+    cell = F.struct("value", "expires_at")
+    return (
+        rows.where((F.col("entity_type") == entity_type) & F.col("feature_name").isin(names))
+        .groupBy("entity_id")
+        .agg(*(F.max_by(cell, at).alias(n) for n, at in written.items()))
+    )
 
-def lookup(
-    requests: DataFrame, rows: DataFrame, entity_type: str, key: str, names: list[str], now: Column
+
+def lookup_entities(
+    requests: DataFrame, entities: DataFrame, key: str, names: list[str], now: Column
 ) -> DataFrame:
-    """`requests` with one column per requested feature; NULL when absent or expired.
+    """`requests` with one column per name; NULL when absent or expired at `now`.
 
-    Live rows are turned to one row per entity first (a map-side combined group-by), so the
-    requests, which may hold a hot entity, are joined once and are the splittable left side.
+    `entities` has one row per entity, so a hot entity makes only the left side skewed, which
+    AQE can split.
     """
-    wanted = live(rows, now).where(
-        (F.col("entity_type") == entity_type) & F.col("feature_name").isin(names)
-    )
-    wide = wanted.groupBy("entity_id").agg(
-        *(F.max_by(F.when(F.col("feature_name") == n, F.col("value")),
-                   F.when(F.col("feature_name") == n, F.col("updated_at"))).alias(n) for n in names)
-    )
+    cells = {n: f"_cell_{n}" for n in names}
     keyed = requests.withColumn("_entity", F.col(key).cast("string"))
-    return keyed.join(wide, keyed["_entity"] == wide["entity_id"], "left").drop(
-        "_entity", "entity_id"
+    joined = keyed.join(
+        entities.withColumnsRenamed(cells), F.col("_entity") == F.col("entity_id"), "left"
     )
 
+    def live_value(cell: str) -> Column:
+        expires = F.col(f"{cell}.expires_at")
+        return F.when(expires.isNull() | (expires > now), F.col(f"{cell}.value"))
+
+    values = {n: live_value(cell) for n, cell in cells.items()}
+    return joined.withColumns(values).drop("_entity", "entity_id", *cells.values())
+
+
+def lookup(
+    requests: DataFrame, rows: DataFrame, entity_type: str, key: str, names: list[str], now: Column
+) -> DataFrame:
+    """`lookup_entities` straight from the long rows."""
+    return lookup_entities(requests, by_entity(rows, entity_type, names), key, names, now)
+
 
 def with_fallback(
     df: DataFrame, cached: str, computed: str, store: list[str], customer: list[str]

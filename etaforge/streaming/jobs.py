@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from etaforge.functions.clock import SECONDS_PER_DAY
-from etaforge.operators.online import lookup
+from etaforge.operators.online import by_entity, lookup_entities
 from etaforge.operators.validate import rejected_rows, valid_rows, with_reasons
 from etaforge.plans.features import with_order_features
 from etaforge.plans.scoring import (
@@ -16,6 +16,7 @@ from etaforge.plans.scoring import (
     as_predictions,
     scoring_rules,
 )
+from etaforge.session import write_through
 from etaforge.sources.keyed import path_exists, upsert
 from etaforge.streaming.sinks import drain, read_batches, read_latest, run_batches, store_batch
 
@@ -27,15 +28,20 @@ DEDUP_GROUPS = 64
 
 
 def score_requests(
-    requests: DataFrame, online: DataFrame, score, now, created_at=None, period: str = "day"
+    requests: DataFrame,
+    stores: DataFrame,
+    customers: DataFrame,
+    score,
+    now,
+    created_at=None,
+    period: str = "day",
 ) -> tuple[DataFrame, DataFrame]:
-    """Parsed orders to `(predictions, rejects)` with features of the online snapshot.
-
-    An entity without live features counts as one without history.
+    """Parsed orders to `(predictions, rejects)` with features of the online snapshot, given as
+    `by_entity` tables. An entity without live features counts as one without history.
     """
     checked = with_reasons(requests, scoring_rules())
-    good = lookup(valid_rows(checked), online, "restaurant", "store_id", STORE_FEATURES, now)
-    good = lookup(good, online, "customer", "customer_id", CUSTOMER_FEATURES, now)
+    good = lookup_entities(valid_rows(checked), stores, "store_id", STORE_FEATURES, now)
+    good = lookup_entities(good, customers, "customer_id", CUSTOMER_FEATURES, now)
     good = good.fillna(0.0, [*STORE_FEATURES, *CUSTOMER_FEATURES])
     scored = score(with_order_features(good))
     return as_predictions(scored, created_at, period=period), rejected_rows(checked)
@@ -52,10 +58,17 @@ def stream_scoring(
     created_at=None,
     period: str = "day",
 ) -> StreamingQuery:
-    """Score a stream of orders into the prediction table; rejects are kept with their reasons."""
+    """Score a stream of orders into the prediction table; rejects are kept with their reasons.
+
+    The online rows are turned to one row per entity once, when the job starts.
+    """
+    stores = write_through(by_entity(online, "restaurant", STORE_FEATURES), "online-stores")
+    customers = write_through(by_entity(online, "customer", CUSTOMER_FEATURES), "online-customers")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        predictions, rejects = score_requests(batch, online, score, now, created_at, period)
+        predictions, rejects = score_requests(
+            batch, stores, customers, score, now, created_at, period
+        )
         upsert(predictions, predictions_path)
         store_batch(rejects, batch_id, rejects_path)
 

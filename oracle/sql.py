@@ -314,10 +314,12 @@ def statements() -> dict[str, str]:
     out["explode_requests"] = query("""
     select order_id//20 as request_id, order_id, customer_id, total,
       case when order_id%4=0 then 1 else order_id%4 end as quantity,
-      date_trunc('second', created_at) as created_at
+      date_trunc('second', created_at) as created_at from fx_orders
+    union all
+    select order_id//20, -order_id-1, customer_id, total, 1, date_trunc('second', created_at)
     from fx_orders""")
     requests = """
-    select order_id//20 as request_id, order_id,
+    select order_id//20 as request_id, unnest([order_id, -order_id-1]) as order_id,
       case when order_id%11=0 then 'no creation time'
            when s.latitude is null then 'no coordinates' end as error
     from fx_orders o left join fx_stores s on s.store_id=o.store_id"""

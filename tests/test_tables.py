@@ -203,6 +203,16 @@ def test_online_values_expire(spark, rows, ttl, now, found):
     assert {r.store_id: r.avg for r in got} == {"s1": found, "s2": None}
 
 
+def test_a_later_write_replaces_value_and_expiry(spark, rows):
+    """As in a key-value store: the old value does not come back when the new one expires."""
+    old = online_rows(spark, rows, "2024-01-01 00:00:00", None)
+    new = online_rows(spark, rows, "2024-01-02 00:00:00", 60).withColumn("value", F.col("value") + 1)
+    asked, both = rows([("s1",)], "store_id string"), old.unionByName(new)
+    for now, want in (("2024-01-02 00:00:30", 34.0), ("2024-01-02 00:02:00", None)):
+        got = online.lookup(asked, both, "restaurant", "store_id", ["avg"], ts(now)).first()
+        assert got.avg == want
+
+
 def test_fallback_is_per_group(rows):
     df = rows(
         [(None, 5.0, 1.0, 2.0, None, 9.0), (30.0, None, 1.0, 2.0, 4.0, 9.0)],
