@@ -46,12 +46,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def registered(fn: Query) -> Query:
-    """Register under the function's name; results have zone-free timestamps."""
+    """Register under the function's name, less a `_query` that keeps it apart from the operator
+    of that name; results have zone-free timestamps."""
 
     def run(spark: SparkSession, root: str) -> DataFrame:
         return _without_zone(fn(pin_utc(spark), root))
 
-    QUERIES[fn.__name__] = run
+    QUERIES[fn.__name__.removesuffix("_query")] = run
     return fn
 
 
@@ -297,13 +298,10 @@ MAPPING = {
 
 
 @registered
-def conformed_orders(spark, root):
+def conform_orders_query(spark, root):
     return conform_orders(_named_tables(spark, root), MAPPING, view="orders_conformed")
 
 
-QUERIES["conform_orders"] = QUERIES.pop("conformed_orders")
-
-
 @registered
 def training_join_item_grain(spark, root):
     t = commerce.tables(spark, root)
@@ -326,9 +324,6 @@ def relationship_coverage_query(spark, root):
     return relationship_coverage(tables, found)
 
 
-QUERIES["relationship_coverage"] = QUERIES.pop("relationship_coverage_query")
-
-
 # --- point-in-time features ------------------------------------------------------------------
 
 
@@ -508,9 +503,6 @@ def feature_freshness_query(spark, root):
     )
 
 
-QUERIES["feature_freshness"] = QUERIES.pop("feature_freshness_query")
-
-
 # --- scoring, predictions, accuracy ----------------------------------------------------------
 
 
