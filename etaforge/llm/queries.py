@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import records, shards
+from . import langid, records, shards, toxicity
 from .common import table
 
 
@@ -20,9 +20,24 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return langid.predict(docs, langid.learn(docs))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {"op1_token_records": op1_token_records, "op10_byte_shards": op10_byte_shards}
+QUERIES = {
+    "op1_token_records": op1_token_records,
+    "op2_language_filters": op2_language_filters,
+    "op4_toxicity": op4_toxicity,
+    "op10_byte_shards": op10_byte_shards,
+}
 STATEMENTS: dict[str, str] = {}
