@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, records, shards, toxicity
+from . import langid, records, shards, superminhash, tiling, toxicity
 from .common import table
 
 
@@ -25,11 +25,20 @@ def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs))
 
 
+def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return tiling.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).drop("text")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
+def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -37,7 +46,9 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_language_filters": op2_language_filters,
+    "op3_string_tiling": op3_string_tiling,
     "op4_toxicity": op4_toxicity,
+    "op8_superminhash": op8_superminhash,
     "op10_byte_shards": op10_byte_shards,
 }
 STATEMENTS: dict[str, str] = {}
