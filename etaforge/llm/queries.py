@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, records, shards, superminhash, tiling, toxicity
+from . import langid, phrases, pii, records, shards, superminhash, tiling, toxicity, viterbi
 from .common import table
 
 
@@ -35,10 +36,35 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
+def op5_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    made = viterbi.encode(docs, tokenizer_file("piece_bpe_32k.model"), ("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.replace_pii(docs)
+
+
+def op7_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.edited_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_components(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return viterbi.token_counts(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -48,7 +74,11 @@ QUERIES = {
     "op2_language_filters": op2_language_filters,
     "op3_string_tiling": op3_string_tiling,
     "op4_toxicity": op4_toxicity,
+    "op5_streaming_viterbi": op5_streaming_viterbi,
+    "op6_surrogates": op6_surrogates,
+    "op7_phrase_fingerprints": op7_phrase_fingerprints,
     "op8_superminhash": op8_superminhash,
+    "op9_trie_token_counts": op9_trie_token_counts,
     "op10_byte_shards": op10_byte_shards,
 }
 STATEMENTS: dict[str, str] = {}
