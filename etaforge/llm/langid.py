@@ -79,9 +79,14 @@ class LanguageFilter:
     def learn_texts(cls, texts: list[str], langs: list[str]) -> LanguageFilter:
         rows = []
         for lang in sorted(set(langs)):
-            keys = [trigrams(t) for t, l in zip(texts, langs, strict=True) if l == lang]
-            uniq, n = np.unique(np.concatenate(keys), return_counts=True)
-            rows += [(lang, int(k), int(c), int(n.sum())) for k, c in zip(uniq, n, strict=True)]
+            sums: dict[int, int] = {}
+            for t, l in zip(texts, langs, strict=True):
+                if l == lang:
+                    uniq, n = np.unique(trigrams(t), return_counts=True)
+                    for k, c in zip(uniq.tolist(), n.tolist(), strict=True):
+                        sums[k] = sums.get(k, 0) + c
+            total = sum(sums.values())
+            rows += [(lang, k, c, total) for k, c in sums.items()]
         return cls.from_counts(rows)
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
