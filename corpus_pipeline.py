@@ -60,7 +60,7 @@ STAGES = [
     ("pieces", to_pieces),
 ]
 
-#: A trained classifier and a Viterbi search have no SQL form; tests hold run() against plain Python.
+#: A trained classifier and a Viterbi search have no SQL form. The operators have tests; run() has none of its own yet.
 ORACLE_SQL = None
 
 
