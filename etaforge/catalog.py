@@ -209,9 +209,10 @@ def features_json_roundtrip(spark, root):
 @registered
 def parse_created_at(spark, root):
     orders = commerce.orders(spark, root, with_store=False)
-    text = F.when(F.col("order_id") % 11 == 0, "not-a-date").otherwise(
-        clock.format_iso(F.col("created_at"))
-    )
+    bad = F.array(*map(F.lit, ("not-a-date", "2024", "T10:00", "10:00", "2024-13-01T00:00:00")))
+    text = F.when(
+        F.col("order_id") % 11 == 0, F.get(bad, (F.col("order_id") % 5).cast("int"))
+    ).otherwise(clock.format_iso(F.col("created_at")))
     parsed = clock.parse_iso(F.col("text"))
     return orders.withColumn("text", text).select(
         "order_id",
@@ -399,8 +400,7 @@ def registry_features(spark, root):
         registry.register(FeatureSpec(f"restaurant_{name}", "restaurant", kind, days, "daily"))
     names = [s.name for s in registry.select(aggregated=True)]
     out = registry.compute(*_targets_and_history(spark, root)).select("order_id", *names)
-    floats = [n for n in names if "count" not in n and "stddev" not in n]
-    return _round(_round(out, *floats), "restaurant_stddev_30d", digits=5)
+    return _round(out, *(n for n in names if "count" not in n))
 
 
 @registered
@@ -548,10 +548,8 @@ def _stored_errors(spark, root) -> DataFrame:
 
 @registered
 def rule_scores(spark, root):
-    rows = _scored(spark, root).where(F.col("model_version") == "rule-1")
-    return _round(
-        rows.select("order_id", "predicted_delivery_minutes"), "predicted_delivery_minutes"
-    )
+    columns = ["order_id", "model_version", "predicted_delivery_minutes"]
+    return _round(_scored(spark, root).select(*columns), "predicted_delivery_minutes")
 
 
 @registered
@@ -660,11 +658,10 @@ def worst_stores(spark, root):
 
 
 def _extreme_predictions(spark, root, worst: bool) -> DataFrame:
-    rows = _errors(spark, root).where(F.col("model_version") == "rule-1")
     columns = ["predicted_delivery_minutes", "actual_delivery_minutes", "absolute_error"]
-    top = accuracy.extreme_rows(
-        rows.select("order_id", *columns), "absolute_error", 5, worst, ["order_id"]
-    )
+    key = ["order_id", "model_version"]
+    rows = _errors(spark, root).select(*key, *columns)
+    top = accuracy.extreme_rows(rows, "absolute_error", 5, worst, key)
     return _round(top, *columns)
 
 
@@ -686,14 +683,14 @@ def error_describe(spark, root):
 
 @registered
 def accuracy_by_week(spark, root):
-    rows = _errors(spark, root).where(F.col("model_version") == "rule-1")
-    return _round(accuracy.over_time(rows), "mae", "bias")
+    return _round(accuracy.over_time(_errors(spark, root)), "mae", "bias")
 
 
 @registered
 def monitor_error_stats(spark, root):
-    rows = _errors(spark, root).where(F.col("model_version") == "rule-1")
-    out = drift.error_stats(rows, "predicted_delivery_minutes", "actual_delivery_minutes")
+    out = drift.error_stats(
+        _errors(spark, root), "predicted_delivery_minutes", "actual_delivery_minutes"
+    )
     return _round(out, "mae", "mean_error")
 
 
@@ -790,7 +787,7 @@ def prediction_drift(spark, root):
 @registered
 def validate_orders(spark, root):
     t = commerce.tables(spark, root)
-    rows = feats.with_quantity(t.orders, t.order_items)
+    rows = feats.with_quantity(feats.with_store_location(t.orders, t.stores), t.order_items)
     return validate.violations(rows, validate.ORDER_CHECKS)
 
 
@@ -829,10 +826,10 @@ def train_test_split(spark, root):
 
 @registered
 def regression_metrics(spark, root):
-    """Test-split metrics of the rule model."""
-    rows = model.with_split(_errors(spark, root).where(F.col("model_version") == "rule-1"))
+    """Test-split metrics of each version of the rule model."""
+    rows = model.with_split(_errors(spark, root)).where("is_test")
     out = accuracy.regression_metrics(
-        rows.where("is_test"), "actual_delivery_minutes", "predicted_delivery_minutes"
+        rows, "actual_delivery_minutes", "predicted_delivery_minutes", ("model_version",)
     )
     return _round(out, "mae", "rmse", "r2")
 
@@ -877,7 +874,8 @@ def model_registry(spark, root):
     newest = model.load_latest(spark, home)
     scored = model.predict(newest, rows).agg(F.count("predicted_delivery_minutes").alias("scored_rows"))
     trees = newest.stages[-1].getNumTrees
-    return scored.select(F.lit("v2").alias("latest"), F.lit(trees).alias("trees"), "scored_rows")
+    latest = model.latest_run(spark, home)["version"]
+    return scored.select(F.lit(latest).alias("latest"), F.lit(trees).alias("trees"), "scored_rows")
 
 
 # --- streams ---------------------------------------------------------------------------------
@@ -894,10 +892,12 @@ def stream_score(spark, root):
     t = commerce.tables(spark, root)
     requests = feats.with_quantity(feats.with_store_location(t.orders, t.stores), t.order_items)
     out, checkpoint = _paths(spark, "stream-score")
-    jobs.stream_scoring(
-        sinks.as_stream(requests, "requests"), _online(spark, root), scoring.rule_scores, out, f"{out}-rejects",
-        checkpoint, _ts(AS_OF), _ts("2024-01-01 00:00:00"), PERIOD,
-    )
+    online = write_through(_online(spark, root), "online")
+    for stream in sinks.arrivals(requests, "requests", "created_at"):
+        jobs.stream_scoring(
+            stream, online, scoring.rule_scores, out, f"{out}-rejects",
+            checkpoint, _ts(AS_OF), _ts("2024-01-01 00:00:00"), PERIOD,
+        )
     columns = ["order_id", "store_id", "predicted_delivery_minutes", "prediction_timestamp"]
     return _round(spark.read.parquet(out).select(*columns), "predicted_delivery_minutes")
 
@@ -906,7 +906,8 @@ def stream_score(spark, root):
 def order_lifecycle(spark, root):
     events = commerce.lifecycle_events(commerce.orders(spark, root, with_store=False))
     out, checkpoint = _paths(spark, "lifecycle")
-    jobs.stream_lifecycle(sinks.as_stream(events, "events"), out, checkpoint)
+    for stream in sinks.arrivals(events, "events", "event_at"):
+        jobs.stream_lifecycle(stream, out, checkpoint)
     return jobs.read_lifecycles(spark, out)
 
 
@@ -916,15 +917,16 @@ def stream_store_metrics(spark, root):
         "store_id", "delivered_at", "delivery_time_minutes"
     )
     out, checkpoint = _paths(spark, "store-metrics")
-    jobs.stream_store_days(sinks.as_stream(rows, "delivered"), out, checkpoint)
+    for stream in sinks.arrivals(rows, "delivered", "delivered_at"):
+        jobs.stream_store_days(stream, out, checkpoint)
     return _round(jobs.sliding_windows(jobs.read_store_days(spark, out)), "avg_minutes")
 
 
 @registered
 def stream_request_stats(spark, root):
     out, checkpoint = _paths(spark, "request-stats")
-    log = sinks.as_stream(commerce.request_log(spark, root), "requests")
-    jobs.stream_request_windows(log, out, checkpoint)
+    for log in sinks.arrivals(commerce.request_log(spark, root), "requests", "ts"):
+        jobs.stream_request_windows(log, out, checkpoint)
     return _round(jobs.read_request_windows(spark, out), "avg_latency_ms")
 
 
@@ -936,10 +938,9 @@ def stream_actuals_match(spark, root):
         "order_id", "delivered_at", "delivery_time_minutes"
     )
     out, checkpoint = _paths(spark, "match")
-    jobs.stream_actuals_match(
-        sinks.as_stream(predictions, "predictions"), sinks.as_stream(actuals, "actuals"),
-        out, checkpoint, hours=1,
-    )
+    made = sinks.arrivals(predictions, "predictions", "prediction_timestamp")
+    for stream, arrived in zip(made, sinks.arrivals(actuals, "actuals", "delivered_at"), strict=True):
+        jobs.stream_actuals_match(stream, arrived, out, checkpoint, hours=1)
     schema = (
         "order_id bigint, model_version string, predicted_delivery_minutes double, "
         "prediction_timestamp timestamp, delivered_at timestamp, delivery_time_minutes double"
@@ -956,7 +957,8 @@ def stream_dedup(spark, root):
     copies = F.when(F.col("order_id") % 3 == 0, 2).otherwise(1)
     sent = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
     out, checkpoint = _paths(spark, "dedup")
-    jobs.stream_dedup(sinks.as_stream(sent, "sent"), out, checkpoint)
+    for stream in sinks.arrivals(sent, "sent", "prediction_timestamp"):
+        jobs.stream_dedup(stream, out, checkpoint)
     schema = "order_id bigint, model_version string, predicted_delivery_minutes double"
     return _round(spark.read.schema(schema).parquet(out), "predicted_delivery_minutes")
 
@@ -969,6 +971,9 @@ def stream_monitor(spark, root):
         F.col("actual_delivery_minutes").alias("actual"),
     )
     out, checkpoint = _paths(spark, "monitor")
-    query = jobs.stream_monitor(sinks.as_stream(log, "log"), out, checkpoint)
-    state = jobs.read_monitor(spark, out, query.lastProgress["batchId"])
+    last = 0
+    for stream in sinks.arrivals(log, "log", "prediction_timestamp"):
+        progress = jobs.stream_monitor(stream, out, checkpoint).lastProgress
+        last = progress["batchId"] if progress else last
+    state = jobs.read_monitor(spark, out, last)
     return _round(jobs.monitor_summary(state), "avg_prediction", "mae", "mean_error")

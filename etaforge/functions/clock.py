@@ -31,9 +31,13 @@ def is_weekend(ts: Column) -> Column:
     return F.weekday(ts) >= 5
 
 
+ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
+
+
 def parse_iso(text: Column) -> Column:
-    """ISO date-time text to timestamp; NULL, not an error, for anything else."""
-    return F.try_to_timestamp(text)
+    """ISO date or date-time text to timestamp; NULL, not an error, for anything else. A year, a
+    month or a time alone is no date."""
+    return F.when(text.rlike(ISO), F.try_to_timestamp(text))
 
 
 def format_iso(ts: Column) -> Column:

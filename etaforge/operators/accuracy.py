@@ -122,10 +122,12 @@ def over_time(errors: DataFrame, width: str = "7 days") -> DataFrame:
     )
 
 
-def regression_metrics(scored: DataFrame, label: str, prediction: str) -> DataFrame:
-    """MAE, RMSE and R2 in one pass."""
+def regression_metrics(
+    scored: DataFrame, label: str, prediction: str, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """MAE, RMSE and R2 in one pass, per value of the columns `by`."""
     y, error = F.col(label), F.col(label) - F.col(prediction)
-    return scored.agg(
+    return scored.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(error)).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"),

@@ -62,9 +62,12 @@ def _partials(aggs: list[RollingAgg]) -> list[Partial]:
     pieces = [Partial("n", F.lit(1).cast("long"), F.sum)]
     if kinds & {"mean", "sum", "stddev"}:
         pieces.append(Partial("nv", value.isNotNull().cast("long"), F.sum))
+    if kinds & {"mean", "sum"}:
         pieces.append(Partial("s", value, F.sum))
     if "stddev" in kinds:
-        pieces.append(Partial("q", value * value, F.sum))
+        from_center = value - F.col("center")
+        pieces.append(Partial("d", from_center, F.sum))
+        pieces.append(Partial("q", from_center * from_center, F.sum))
     if "min" in kinds:
         pieces.append(Partial("lo", value, F.min))
     if "max" in kinds:
@@ -89,11 +92,9 @@ def _result(agg: RollingAgg) -> Column:
     elif agg.kind == "max":
         value = piece("hi")
     else:
-        n, s, q = piece("nv"), piece("s"), piece("q")
-        spread = q - F.try_divide(s * s, n)
-        # Rounding error of the difference; a spread below it is 0.
-        noise = q * F.least(n * 1e-15, F.lit(1e-12))
-        value = F.sqrt(F.try_divide(F.when(spread > noise, spread).otherwise(0.0), n - 1))
+        n, d, q = piece("nv"), piece("d"), piece("q")
+        spread = F.greatest(q - F.try_divide(d * d, n), F.lit(0.0))
+        value = F.sqrt(F.try_divide(spread, n - 1))
     return F.coalesce(value, F.lit(0.0)).alias(agg.name)
 
 
@@ -114,6 +115,8 @@ def rolling_features(
     """
     windows = sorted({agg.window_days for agg in aggs})
     parts = _partials(aggs)
+    if any(agg.kind == "stddev" for agg in aggs):
+        history = _with_center(history, key, value)
     asked = targets if moments is None else moments
     seconds = _seconds_with_probes(asked, history, key, as_of, event_time, value, windows, parts)
     answers = _window_answers(seconds, windows, parts).select(
@@ -129,6 +132,18 @@ def rolling_features(
     return matched.withColumns(filled).drop("_k", "_t", "_as_of")
 
 
+def _with_center(history: DataFrame, key: str, value: str) -> DataFrame:
+    """Adds `center`, a middle value of the key. Squares are summed as distances from it: those
+    of large values with a small spread would lose the spread."""
+    centers = (
+        history.where(F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("_center_key"))
+        .agg(F.percentile_approx(F.col(value).cast("double"), 0.5, 100).alias("center"))
+    )
+    joined = history.join(centers, F.col(key) == F.col("_center_key"), "left")
+    return joined.drop("_center_key")
+
+
 def _seconds_with_probes(
     targets: DataFrame,
     history: DataFrame,
@@ -150,6 +165,7 @@ def _seconds_with_probes(
             F.col(key).alias("k"),
             F.unix_seconds(event_time).alias("sec"),
             F.col(value).cast("double").alias("value"),
+            *(["center"] if any(p.name == "q" for p in parts) else []),
         )
         .select(
             F.explode(F.array(*map(F.lit, spans))).alias("span"),

@@ -50,10 +50,18 @@ class Registry:
             and (aggregated is None or (s.aggregation != "none") == aggregated)
         ]
 
-    def compute(self, targets: DataFrame, history: DataFrame) -> DataFrame:
-        """All aggregated features for `targets`; the features of one entity share one pass."""
+    def compute(
+        self, targets: DataFrame, history: DataFrame, keys: dict[str, str] = ENTITY_KEYS
+    ) -> DataFrame:
+        """All aggregated features for `targets`; the features of one entity share one pass.
+
+        `keys` names the column that identifies each entity; an entity without one raises.
+        """
+        unknown = {s.entity for s in self.select(aggregated=True)} - keys.keys()
+        if unknown:
+            raise ValueError(f"no key column for entities {sorted(unknown)}")
         out = targets
-        for entity, key in ENTITY_KEYS.items():
+        for entity, key in keys.items():
             aggs = [s.rolling() for s in self.select(entity=entity, aggregated=True)]
             if aggs:
                 out = rolling_features(

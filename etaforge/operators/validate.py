@@ -38,11 +38,26 @@ ORDER_CHECKS = [
     Check("customer_id", "not_null"),
     Check("store_id", "not_null"),
     Check("created_at", "not_null"),
+    Check("delivery_latitude", "not_null"),
+    Check("delivery_longitude", "not_null"),
+    Check("latitude", "not_null"),
+    Check("longitude", "not_null"),
+    Check("total", "not_null"),
+    Check("quantity", "not_null"),
     Check("total", "min", 0),
     Check("quantity", "min", 1),
 ]
 TRAINING_CHECKS = [
     Check("order_id", "unique"),
+    Check("order_id", "not_null"),
+    Check("restaurant_order_count_30d", "not_null"),
+    Check("customer_order_count_30d", "not_null"),
+    Check("distance_km", "not_null"),
+    Check("hour_of_day", "not_null"),
+    Check("day_of_week", "not_null"),
+    Check("is_weekend", "not_null"),
+    Check("total", "not_null"),
+    Check("quantity", "not_null"),
     Check("delivery_time_minutes", "min", 0),
     Check("restaurant_avg_delivery_minutes_30d", "min", 0),
     Check("restaurant_order_count_30d", "min", 0),

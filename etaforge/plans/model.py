@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from etaforge.functions.guards import model_inputs
@@ -128,8 +128,8 @@ def registry(spark: SparkSession, root: str) -> DataFrame:
     ).parquet(f"{root}/registry")
 
 
-def load_latest(spark: SparkSession, root: str, name: str = "delivery_time") -> PipelineModel:
-    """The most recently trained model: a registry query, not a copied file."""
+def latest_run(spark: SparkSession, root: str, name: str = "delivery_time") -> Row:
+    """Registry row of the most recently trained model."""
     newest = (
         registry(spark, root)
         .where(F.col("model_name") == name)
@@ -138,4 +138,9 @@ def load_latest(spark: SparkSession, root: str, name: str = "delivery_time") ->
     )
     if newest is None:
         raise ValueError(f"no model named {name!r}")
-    return PipelineModel.load(newest["path"])
+    return newest
+
+
+def load_latest(spark: SparkSession, root: str, name: str = "delivery_time") -> PipelineModel:
+    """The most recently trained model: a registry query, not a copied file."""
+    return PipelineModel.load(latest_run(spark, root, name)["path"])

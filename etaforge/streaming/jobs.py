@@ -35,16 +35,18 @@ def score_requests(
     now,
     created_at=None,
     period: str = "day",
+    seq: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """Parsed orders to `(predictions, rejects)` with features of the online snapshot, given as
-    `by_entity` tables. An entity without live features counts as one without history.
+    `by_entity` tables. An entity without live features counts as one without history. Of
+    predictions with one `created_at` that of the greatest `seq` is the latest.
     """
     checked = with_reasons(requests, scoring_rules())
     good = lookup_entities(valid_rows(checked), stores, "store_id", STORE_FEATURES, now)
     good = lookup_entities(good, customers, "customer_id", CUSTOMER_FEATURES, now)
     good = good.fillna(0.0, [*STORE_FEATURES, *CUSTOMER_FEATURES])
     scored = score(with_order_features(good))
-    return as_predictions(scored, created_at, period=period), rejected_rows(checked)
+    return as_predictions(scored, created_at, seq, period), rejected_rows(checked)
 
 
 def stream_scoring(
@@ -67,7 +69,7 @@ def stream_scoring(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         predictions, rejects = score_requests(
-            batch, stores, customers, score, now, created_at, period
+            batch, stores, customers, score, now, created_at, period, batch_id
         )
         upsert(predictions, predictions_path)
         store_batch(rejects, batch_id, rejects_path)
@@ -287,13 +289,16 @@ def last_per_model(rows: DataFrame, n: int) -> DataFrame:
 
 def stream_monitor(log: DataFrame, path: str, checkpoint: str, n: int = 1000) -> StreamingQuery:
     """Keep the n latest predictions per model: after each batch, state = last n of (state of the
-    batch before, new rows). The state is a table of at most n rows per model."""
+    batch before, new rows). The state is a table of at most n rows per model; if that of the batch
+    before is gone, the job stops instead of starting from nothing."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = f"{path}/state-{batch_id - 1}"
         rows = batch
-        if batch_id > 0 and path_exists(spark, before):
+        if batch_id > 0:
+            if not path_exists(spark, before):
+                raise FileNotFoundError(f"monitor state {before} is lost")
             rows = spark.read.schema(MONITOR).parquet(before).unionByName(batch)
         last_per_model(rows, n).write.mode("overwrite").parquet(f"{path}/state-{batch_id}")
 

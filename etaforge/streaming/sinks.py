@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from etaforge.operators.joins import latest_per_key
-from etaforge.session import scratch_dir
+from etaforge.session import scratch_dir, write_through
 from etaforge.sources.keyed import path_exists, replace_partitions
 
 
@@ -44,12 +44,23 @@ def read_latest(spark: SparkSession, path: str, schema: str, keys: list[str]) ->
     return latest_per_key(read_batches(spark, path, schema), keys, ["batch_id"]).drop("batch_id")
 
 
-def as_stream(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back as a file stream."""
+def arrivals(df: DataFrame, label: str, event_time: str, portions: int = 5) -> Iterator[DataFrame]:
+    """`df` as a file stream whose rows arrive in portions of rising event time.
+
+    Yields the stream each time another portion has been written; a job run on it with one
+    checkpoint takes one micro-batch per portion, between which the watermark moves. Equal times
+    arrive together and NULL times first, so no row comes behind a watermark of any delay.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).options(**options).parquet(path)
+    rows = write_through(df, f"{label}-rows")
+    at = F.unix_micros(event_time)
+    shares = [i / portions for i in range(1, portions)]
+    cuts = rows.agg(F.percentile_approx(at, shares).alias("cuts")).first()["cuts"] or []
+    portion = sum((F.coalesce(at > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
+    for number in range(portions):
+        rows.where(portion == number).write.mode("append").parquet(path)
+        yield spark.readStream.schema(df.schema).parquet(path)
 
 
 def dropped_late(query: StreamingQuery) -> int:

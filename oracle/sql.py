@@ -106,7 +106,6 @@ CTES: dict[str, str] = {
       abs(predicted_delivery_minutes-delivery_time_minutes)/delivery_time_minutes*100
         as percentage_error
     from preds""",
-    "err1": "select * from errs where model_version='rule-1'",
     "reqlog": """
     select event_id as request_id, ts, user_id as order_id,
       case when event_type<>'error' then 10e0+(event_id*37)%80 end as prediction,
@@ -420,7 +419,7 @@ def statements() -> dict[str, str]:
     select x7.order_id, round(x7.a,6) as restaurant_avg_delivery_minutes_7d,
       round(x30.a,6) as restaurant_avg_delivery_minutes_30d, x30.n as restaurant_order_count_30d,
       round(x30.s,6) as restaurant_sum_30d, round(x30.lo,6) as restaurant_min_30d,
-      round(x30.hi,6) as restaurant_max_30d, round(x30.sd,5) as restaurant_stddev_30d,
+      round(x30.hi,6) as restaurant_max_30d, round(x30.sd,6) as restaurant_stddev_30d,
       round(x7.hi,6) as restaurant_max_7d,
       pc.n as customer_order_count_30d, round(pc.a,6) as customer_avg_delivery_minutes_30d
     from x7 join x30 on x30.order_id=x7.order_id join pc on pc.order_id=x7.order_id""",
@@ -479,8 +478,8 @@ def statements() -> dict[str, str]:
       ('day_of_week','order','static'), ('is_weekend','order','static')) f(name, entity, freshness)""")
     # Scoring and predictions.
     out["rule_scores"] = query("""
-    select order_id, round(predicted_delivery_minutes,6) as predicted_delivery_minutes
-    from preds where model_version='rule-1'""")
+    select order_id, model_version, round(predicted_delivery_minutes,6)
+      as predicted_delivery_minutes from preds""")
     out["batch_score"] = query("""
     select order_id, customer_id, store_id, created_at as prediction_timestamp,
       round(case when restaurant_order_count_30d>0 then restaurant_avg_delivery_minutes_30d
@@ -535,8 +534,9 @@ def statements() -> dict[str, str]:
         "select * from bs order by avg_error desc, store_id nulls first limit 5", bs=by_store)
     for name, direction in (("best", ""), ("worst", " desc")):
         out[f"{name}_predictions"] = query(f"""
-    select order_id, {rounded('predicted_delivery_minutes, actual_delivery_minutes, absolute_error')}
-    from err1 order by errs_key{direction}, order_id limit 5""".replace("errs_key", "err1.absolute_error"))
+    select order_id, model_version,
+      {rounded('predicted_delivery_minutes, actual_delivery_minutes, absolute_error')}
+    from errs order by errs.absolute_error{direction}, order_id, model_version limit 5""")
     out["error_describe"] = query(" union all ".join(f"""
     select '{c}' as column_name, count({c}) as count, count(*)-count({c}) as null_count,
       round(avg({c}),6) as mean, round(stddev_samp({c}),6) as std, round(min({c}),6) as min,
@@ -546,17 +546,18 @@ def statements() -> dict[str, str]:
     out["accuracy_by_week"] = query("""
     select time_bucket(interval 7 day, delivered_at, timestamp '1970-01-01 00:00:00')
         as week_start, count(*) as n, round(avg(absolute_error),6) as mae,
-      round(avg(error),6) as bias from err1 group by 1""")
+      round(avg(error),6) as bias from errs group by 1""")
     out["regression_metrics"] = query("""
-    select count(*) as n, round(avg(absolute_error),6) as mae, round(sqrt(avg(error*error)),6)
-      as rmse, round(1-sum(error*error)/(var_pop(actual_delivery_minutes)*count(*)),6) as r2
-    from err1 where ('0x'||substr(md5(order_id::varchar),1,8))::bigint%100 < 20""")
+    select model_version, count(*) as n, round(avg(absolute_error),6) as mae,
+      round(sqrt(avg(error*error)),6) as rmse, round(1-sum(error*error)/(var_pop(actual_delivery_minutes)*count(*)),6) as r2
+    from errs where ('0x'||substr(md5(order_id::varchar),1,8))::bigint%100 < 20
+    group by model_version""")
     out["train_test_split"] = query("""
     select order_id, ('0x'||substr(md5(order_id::varchar),1,8))::bigint%100 < 20 as is_test
     from hist""")
     out["monitor_error_stats"] = query("""
     select round(avg(absolute_error),6) as mae, round(avg(error),6) as mean_error,
-      count(*) as n_samples from err1 having count(*) >= 10""")
+      count(*) as n_samples from errs having count(*) >= 10""")
     # Logs.
     out["request_stats"] = query("""
     select count(*) as total_requests, count(prediction) as successful_requests,
@@ -598,14 +599,15 @@ def statements() -> dict[str, str]:
     out["validate_orders"] = query("""
     select 'order_id:unique' as rule, (select count(*) from (select order_id from vo
         group by order_id having count(*)>1)) as violations
-    union all select 'order_id:not_null', count(*) filter (order_id is null) from vo
-    union all select 'customer_id:not_null', count(*) filter (customer_id is null) from vo
-    union all select 'store_id:not_null', count(*) filter (store_id is null) from vo
-    union all select 'created_at:not_null', count(*) filter (created_at is null) from vo
+""" + "".join(f"""
+    union all select '{c}:not_null', count(*) filter ({c} is null) from vo""" for c in (
+        "order_id", "customer_id", "store_id", "created_at", "delivery_latitude",
+        "delivery_longitude", "latitude", "longitude", "total", "quantity")) + """
     union all select 'total:min:0', count(*) filter (total < 0) from vo
     union all select 'quantity:min:1', count(*) filter (quantity < 1) from vo""", vo="""
-    select o.*, coalesce(q.quantity,1) as quantity
-    from fx_orders o left join qty q on q.order_id=o.order_id""")
+    select o.*, s.latitude, s.longitude, coalesce(q.quantity,1) as quantity
+    from fx_orders o left join qty q on q.order_id=o.order_id
+      left join fx_stores s on s.store_id=o.store_id""")
     rules = [("delivery_time_minutes", "min", 0), ("restaurant_avg_delivery_minutes_30d", "min", 0),
              ("restaurant_order_count_30d", "min", 0), ("customer_order_count_30d", "min", 0),
              ("distance_km", "min", 0), ("hour_of_day", "min", 0), ("hour_of_day", "max", 23),
@@ -615,7 +617,10 @@ def statements() -> dict[str, str]:
     select 'order_id:unique' as rule, (select count(*) from (select order_id from items
       group by order_id having count(*)>1)) as violations""" + "".join(f"""
     union all select '{c}:{k}:{b}', count(*) filter ({c} {'<' if k == 'min' else '>'} {b})
-      from items""" for c, k, b in rules), items="""
+      from items""" for c, k, b in rules) + "".join(f"""
+    union all select '{c}:not_null', count(*) filter ({c} is null) from items""" for c in (
+        "order_id", "restaurant_order_count_30d", "customer_order_count_30d", "distance_km",
+        "hour_of_day", "day_of_week", "is_weekend", "total", "quantity")), items="""
     select tf.* exclude (quantity), i.quantity from tf
       left join fx_items i on i.order_id=tf.order_id""")
     # Streams: the batch result of each job.

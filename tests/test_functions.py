@@ -64,6 +64,14 @@ def test_bad_time_is_null_not_an_error(rows):
     assert got == [None, "2024-01-01T10:00:00", None]
 
 
+def test_parts_of_a_time_are_no_time(rows):
+    bad = ["2024", "2024-01", "T10:00", "10:00", "2024-13-01T00:00:00", "2024-01-01T", "1704067200", ""]
+    good = ["2024-01-01", "2024-01-01 10:00", "2024-01-01T10:00:00.123", "2024-01-01T10:00:00Z", "2024-01-01T10:00:00+01:00"]
+    df = rows([(t,) for t in bad + good], "t string")
+    got = {r[0]: r[1] for r in df.select("t", clock.parse_iso(F.col("t"))).collect()}
+    assert all(got[t] is None for t in bad) and all(got[t] is not None for t in good)
+
+
 def test_quantity_rules(rows):
     df = rows([(None,), (0,), (4,)], "q bigint")
     got = df.select(guards.quantity_or_one(F.col("q")), guards.request_quantity(F.col("q"))).collect()

@@ -146,3 +146,26 @@ def test_registry_replaces_by_name_and_hashes_definitions(spark):
 def test_unknown_aggregate_is_refused():
     with pytest.raises(ValueError):
         RollingAgg("x", "median", 30)
+
+
+@pytest.mark.parametrize(
+    ("values", "want"),
+    [
+        ([1_000_000 + i % 2 for i in range(1000)], 0.500250),
+        ([1_700_000_000 + i for i in range(20)], 5.916080),
+        ([0.1] * 50, 0.0),
+        ([5.0], 0.0),
+    ],
+)
+def test_spread_of_large_values(spark, values, want):
+    history = spark.createDataFrame([(1, 86_400 + i, float(v)) for i, v in enumerate(values)], "k long, s long, v double")
+    history = history.select("k", F.timestamp_seconds("s").alias("at"), "v")
+    targets = spark.sql("select 1L as k, timestamp_seconds(200000) as as_of")
+    out = rolling_features(targets, history, "k", "as_of", "at", "v", [RollingAgg("sd", "stddev", 30)])
+    assert out.first()["sd"] == pytest.approx(want, abs=1e-6)
+
+
+def test_unknown_entity_raises(spark):
+    registry = Registry([FeatureSpec("driver_mean", "driver", "mean", 30)])
+    with pytest.raises(ValueError, match="driver"):
+        registry.compute(spark.range(1), spark.range(1))

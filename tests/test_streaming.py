@@ -106,9 +106,9 @@ def test_actuals_match_in_time_only(spark, place, rows):
         [(1, "2024-01-01 10:30:00", 30.0), (2, "2024-01-01 15:00:00", 300.0), (3, "2024-01-01 09:59:59", 0.0)],
         "order_id bigint, delivered_at timestamp, delivery_time_minutes double",
     )
-    jobs.stream_actuals_match(
-        sinks.as_stream(predictions, "t-p"), sinks.as_stream(actuals, "t-a"), place("out"), place("ck"), 4
-    )
+    made = sinks.arrivals(predictions, "t-p", "prediction_timestamp", 2)
+    for stream, arrived in zip(made, sinks.arrivals(actuals, "t-a", "delivered_at", 2), strict=True):
+        jobs.stream_actuals_match(stream, arrived, place("out"), place("ck"), 4)
     twin = jobs.match_actuals(predictions, actuals, 4)
     assert [r.order_id for r in twin.collect()] == [1]
     assert same_rows(spark.read.schema(twin.schema).parquet(place("out")), twin)
@@ -159,3 +159,45 @@ def test_scoring_stream_upserts_and_rejects(spark, place, rows):
         got = {r.order_id: r.predicted_delivery_minutes for r in spark.read.parquet(place("out")).collect()}
         assert got == {1: 33.0, 3: 45.0}
         assert [r.order_id for r in spark.read.parquet(place("bad")).collect()] == [2]
+
+
+def test_portions_arrive_in_time_order_and_whole(spark, place):
+    rows = spark.range(100).selectExpr(
+        "id", "case when id > 0 then timestamp_seconds(1704067200 + (id * 37) % 50) end as ts"
+    )
+    seen, batches = [], 0
+    for stream in sinks.arrivals(rows, "t-arrive", "ts"):
+        def keep(batch, batch_id):
+            seen.append([r.ts for r in batch.collect()])
+        query = sinks.run_batches(stream, keep, place("ck"))
+        batches += 1
+    assert batches == 5 and sum(map(len, seen)) == 100 and query.lastProgress["batchId"] == 4
+    times = [sorted(t for t in batch if t) for batch in seen]
+    assert all(a[-1] < b[0] for a, b in zip(times, times[1:]))
+
+
+def test_lost_monitor_state_stops_the_job(spark, place):
+    log = spark.range(20).selectExpr(
+        "'a' as model_version", "id as order_id", "timestamp_seconds(id) as prediction_timestamp",
+        "1.0D as prediction", "2.0D as actual",
+    )
+    portions = sinks.arrivals(log, "t-log", "prediction_timestamp", 2)
+    jobs.stream_monitor(next(portions), place("out"), place("ck"))
+    with pytest.raises(Exception, match="lost"):
+        jobs.stream_monitor(next(portions), place("elsewhere"), place("ck"))
+
+
+def test_later_batch_wins_at_one_storing_time(spark, place, rows):
+    made = F.lit("2024-01-01").cast("timestamp")
+    order = rows([(1, 5, 7, "2024-01-01 10:00:00")], "order_id bigint, customer_id bigint, store_id bigint, created_at timestamp").selectExpr(
+        "*", "47.0D as latitude", "-122.0D as longitude", "-122.0D as delivery_longitude", "100L as total", "1L as quantity"
+    )
+    none = spark.createDataFrame(
+        [], "entity_type string, entity_id string, feature_name string, value double, updated_at timestamp, expires_at timestamp"
+    )
+    for far in (1.0, 0.0):
+        sent = order.withColumn("delivery_latitude", F.lit(47.0 + far))
+        sent.write.mode("append").parquet(place("in"))
+        stream = spark.readStream.schema(sent.schema).parquet(place("in"))
+        jobs.stream_scoring(stream, none, scoring.rule_scores, place("out"), place("bad"), place("ck"), made, made)
+    assert [r.predicted_delivery_minutes for r in spark.read.parquet(place("out")).collect()] == [45.0]
