@@ -18,7 +18,7 @@ CYRILLIC_MALE = ("Адам", "Борис", "Карл", "Давид", "Эмиль
 CYRILLIC_FEMALE = ("Алиса", "Берта", "Клара", "Диана", "Эмма", "Флора", "Грета", "Елена", "Ида", "Юлия", "Кира", "Лена", "Марта", "Нора", "Ольга", "Паула")
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-f]*[0-9])(?:[0-9a-f]{32,64})(?![0-9A-Za-z])|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}"
+SECRET = r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])(?:[0-9A-Fa-f]{32,64})(?![0-9A-Za-z])|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 CARD = r"(?<![0-9.])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])|(?<![0-9.])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -100,12 +100,17 @@ def _surrogate() -> str:
 
 
 def _format() -> str:
-    """SQL: surrogate normal form written in the value's own format (signs between, title before)."""
+    """SQL: surrogate normal form written in the value's own format (signs between, title before, case of a secret).
+
+    A secret without small letters gets none; else each sign takes the case of the value's sign at its place.
+    """
     return """case when kind in ('card', 'phone', 'ssn', 'iban') then
         array_join(transform(sequence(1, length(value)), i -> case when substr(value, i, 1) rlike '[0-9A-Z]'
             then substr(made, 1 + length(regexp_replace(substr(value, 1, i - 1), '[^0-9A-Z]', '')), 1) else substr(value, i, 1) end), '')
         when kind = 'name' then concat(regexp_extract(value, '^(\\\\S+ )', 1), made)
-        when kind = 'email' and value = upper(value) then upper(made)
+        when kind in ('email', 'secret') and value = upper(value) then upper(made)
+        when kind = 'secret' then array_join(transform(sequence(1, length(value)), i -> case when substr(value, i, 1) rlike '[A-Z]'
+            then upper(substr(made, i, 1)) else substr(made, i, 1) end), '')
         else made end"""
 
 

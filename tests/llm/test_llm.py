@@ -122,6 +122,19 @@ def test_surrogates_keep_type_and_coreference(docs):
     assert got[7]["text"] == LONG + ""
 
 
+def test_hex_secrets_of_any_case(spark):
+    low = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    mixed = "".join(c.upper() if k % 2 else c for k, c in enumerate(low))
+    clear = "ABCDEFABCDEFABCDEFABCDEFABCDEFAB"  # no digit: a word, not a key
+    df = spark.createDataFrame([(1, f'TOKEN = "{low.upper()}"'), (2, f"a {low} b {mixed}"), (3, clear)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace_pii(df).collect()}
+    assert [got[i]["n_pii"] for i in (1, 2, 3)] == [1, 2, 0] and got[3]["text"] == clear
+    upper, (_, lower, _, mix) = got[1]["text"].split('"')[1], got[2]["text"].split(" ")
+    assert upper == lower.upper() == mix.upper() and lower == lower.lower() != low
+    assert len(lower) == len(low) and set(lower) <= set("0123456789abcdef")
+    assert all(not c.isupper() for c, v in zip(mix, mixed, strict=True) if not v.isupper())
+
+
 def full_viterbi(p, signs):
     best = [(0.0, ())]
     for end in range(1, len(signs) + 1):
