@@ -39,7 +39,6 @@ EVENT_SPLIT = "2024-01-21 00:00:00"
 STORED_AT = {"rule-1": "2024-01-02 00:00:00", "rule-2": "2024-01-03 00:00:00"}
 # The test data spread few orders over six years; days would make thousands of tiny files.
 PERIOD = "year"
-SMALL_GBT = {"maxIter": 10, "maxDepth": 4}
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -841,7 +840,7 @@ def _training_set(spark, root) -> DataFrame:
 @registered
 def gbt_train_eval(spark, root):
     rows = model.with_split(_training_set(spark, root))
-    fitted = model.fit(rows.where(~F.col("is_test")), **SMALL_GBT)
+    fitted = model.fit(rows.where(~F.col("is_test")))
     scored = model.predict(fitted, rows.where("is_test"))
     return accuracy.regression_metrics(scored, model.LABEL, "predicted_delivery_minutes")
 
@@ -849,28 +848,28 @@ def gbt_train_eval(spark, root):
 @registered
 def gbt_scores(spark, root):
     rows = _training_set(spark, root)
-    fitted = model.fit(rows, **SMALL_GBT)
+    fitted = model.fit(rows)
     return model.predict(fitted, rows).select("order_id", "predicted_delivery_minutes")
 
 
 @registered
 def feature_importance(spark, root):
-    return model.feature_importance(spark, model.fit(_training_set(spark, root), **SMALL_GBT))
+    return model.feature_importance(spark, model.fit(_training_set(spark, root)))
 
 
 @registered
 def training_run(spark, root):
     home = scratch_dir(spark, "models")
-    model.run_training(_training_set(spark, root), home, "v1", "2024-01-01 00:00:00", **SMALL_GBT)
+    model.run_training(_training_set(spark, root), home, "v1", "2024-01-01 00:00:00")
     return model.registry(spark, home).select("model_name", "version", F.explode("metrics"), "trained_at")
 
 
 @registered
 def model_registry(spark, root):
-    """Two registered versions; the latest is loaded back and scores the training set."""
+    """Two registered versions of different seeds; the latest is loaded back and scores the training set."""
     home, rows = scratch_dir(spark, "models"), _training_set(spark, root)
-    for version, day, rounds in (("v1", "2024-01-01", 3), ("v2", "2024-01-02", 5)):
-        model.run_training(rows, home, version, f"{day} 00:00:00", maxIter=rounds, maxDepth=3)
+    for version, day, seed in (("v1", "2024-01-01", 42), ("v2", "2024-01-02", 43)):
+        model.run_training(rows, home, version, f"{day} 00:00:00", seed=seed)
     newest = model.load_latest(spark, home)
     scored = model.predict(newest, rows).agg(F.count("predicted_delivery_minutes").alias("scored_rows"))
     trees = newest.stages[-1].getNumTrees

@@ -4,6 +4,7 @@ import pytest
 
 from compare import difference, duck
 from etaforge.catalog import QUERIES
+from etaforge.plans import model
 from oracle.sql import statements
 
 ROOT = "/root/testdata/sf0.001"
@@ -31,6 +32,19 @@ def test_query_equals_duckdb(spark, con, name):
     assert difference(df, con, SQL[name]) is None
 
 
+def test_model_queries_train_with_the_default_settings(spark, monkeypatch):
+    settings, regressor = [], model.GBTRegressor
+
+    def noted(**params):
+        settings.append({name: params[name] for name in ("maxIter", "maxDepth", "stepSize")})
+        return regressor(**{**params, "maxIter": 1, "maxDepth": 1})  # one stump: only the settings matter here
+
+    monkeypatch.setattr(model, "GBTRegressor", noted)
+    for name in sorted(set(QUERIES) - set(SQL)):
+        QUERIES[name](spark, ROOT).count()
+    assert settings == [{"maxIter": 100, "maxDepth": 6, "stepSize": 0.1}] * 6
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
