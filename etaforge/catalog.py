@@ -895,7 +895,7 @@ def stream_score(spark, root):
     for stream in sinks.arrivals(requests, "requests", "created_at"):
         jobs.stream_scoring(
             stream, online, scoring.rule_scores, out, f"{out}-rejects",
-            checkpoint, _ts(AS_OF), _ts("2024-01-01 00:00:00"), PERIOD,
+            checkpoint, _ts(AS_OF), _ts("2024-01-01 00:00:00"), PERIOD, feats.delivered(t.orders),
         )
     columns = ["order_id", "store_id", "predicted_delivery_minutes", "prediction_timestamp"]
     return _round(spark.read.parquet(out).select(*columns), "predicted_delivery_minutes")

@@ -1,8 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from etaforge import catalog
 from etaforge.plans import scoring
+from etaforge.plans.features import delivered
 from etaforge.session import scratch_dir
+from etaforge.sources import commerce
 from etaforge.sources.commerce import lifecycle_events
 from etaforge.streaming import jobs, sinks
 
@@ -161,6 +164,55 @@ def test_scoring_stream_upserts_and_rejects(spark, place, rows):
         assert [r.order_id for r in spark.read.parquet(place("bad")).collect()] == [2]
 
 
+def test_scoring_stream_computes_what_the_snapshot_lacks(spark, place, rows):
+    """Store 7 is live, 8 expired, 9 absent, 6 without history; a null customer has no orders."""
+    requests = rows(
+        [(k, customer, store, "2024-01-10 10:00:00") for k, customer, store in
+         ((1, 1, 7), (2, 2, 8), (3, 3, 9), (4, None, 6), (4, None, 6))],
+        "order_id bigint, customer_id bigint, store_id bigint, created_at timestamp",
+    ).selectExpr(
+        "*", "47.0D as latitude", "-122.0D as longitude", "47.0D as delivery_latitude",
+        "-122.0D as delivery_longitude", "100L as total", "1L as quantity",
+    )
+    avg, count, own = *scoring.STORE_FEATURES, scoring.CUSTOMER_FEATURES[0]
+    snapshot = rows(
+        [("restaurant", "7", avg, 33.0, "2024-01-11"), ("restaurant", "7", count, 4.0, "2024-01-11"),
+         ("restaurant", "8", avg, 99.0, "2024-01-10"), ("restaurant", "8", count, 4.0, "2024-01-10"),
+         ("customer", "1", own, 5.0, "2024-01-11"), ("customer", "2", own, 6.0, "2024-01-10")],
+        "entity_type string, entity_id string, feature_name string, value double, expires_at timestamp",
+    ).selectExpr("*", "timestamp'2024-01-01' as updated_at")
+    history = rows(
+        [(1, 7, "2024-01-09 10:00:00", 10.0), (2, 8, "2024-01-09 10:00:00", 20.0),
+         (2, 8, "2024-01-08 10:00:00", 30.0), (2, 8, "2024-01-10 10:00:00", 90.0),
+         (2, 8, "2023-12-01 10:00:00", 90.0), (3, 9, "2024-01-09 10:00:00", 40.0)],
+        "customer_id bigint, store_id bigint, delivered_at timestamp, delivery_time_minutes double",
+    )
+    stream = in_files(requests, place("in"), "order_id", 2)
+    now = F.lit("2024-01-10 12:00:00").cast("timestamp")
+    jobs.stream_scoring(
+        stream, snapshot, scoring.rule_scores, place("out"), place("bad"), place("ck"), now, now, history=history
+    )
+    out = spark.read.parquet(place("out"))
+    assert {r.order_id: r.predicted_delivery_minutes for r in out.collect()} == {1: 33.0, 2: 25.0, 3: 40.0, 4: 45.0}
+    customers = out.select("order_id", F.get_json_object("features_json", f"$.{own}").cast("double").alias("n"))
+    assert {r.order_id: r.n for r in customers.collect()} == {1: 5.0, 2: 2.0, 3: 1.0, 4: 0.0}
+
+
+def test_scoring_stream_with_aged_snapshot_equals_batch(spark, place):
+    root, now = "/root/testdata/sf0.001", F.lit(catalog.AS_OF).cast("timestamp")
+    t = commerce.tables(spark, root)
+    history, online = delivered(t.orders), catalog._aged(catalog._online(spark, root)).localCheckpoint()
+    requests = scoring.confirmed_orders(t).where("delivery_latitude is not null and delivery_longitude is not null and total >= 0")
+    batch = scoring.rule_scores(scoring.inference_features(requests, history, online, now))
+    stream = in_files(requests, place("in"), "order_id", 2)
+    jobs.stream_scoring(
+        stream, online, scoring.rule_scores, place("out"), place("bad"), place("ck"), now, now, "year", history
+    )
+    columns = ["order_id", "round(predicted_delivery_minutes, 6) as minutes"]
+    got = spark.read.parquet(place("out")).selectExpr(*columns)
+    assert got.count() > 0 and same_rows(got, batch.selectExpr(*columns))
+
+
 def test_portions_arrive_in_time_order_and_whole(spark, place):
     rows = spark.range(100).selectExpr(
         "id", "case when id > 0 then timestamp_seconds(1704067200 + (id * 37) % 50) end as ts"
