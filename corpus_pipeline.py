@@ -18,10 +18,10 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. It is trained on labelled rows of these documents."""
+    """Rows that the classifier does not reject, whatever their id. It is trained on labelled rows of these documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return without(docs, scored.where("predicted = 1"))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), COLUMNS)
+    return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

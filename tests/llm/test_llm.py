@@ -187,6 +187,33 @@ def test_toxicity(spark):
     assert np.mean([r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got if r["held_out"] and r["doc_id"] < 900]) > 0.9
 
 
+def test_toxicity_without_usable_labels(spark, docs):
+    ids = [i for i, _ in ROWS if i is not None]
+    held = [r["doc_id"] for r in docs.where(toxicity.held_out("doc_id")).select("doc_id").collect()]
+    free = [i for i in ids if i not in held and i != 3]
+    for labels in ([], [(i, None) for i in ids], [(i, 1) for i in held], [(i, 1) for i in range(1000, 1040)], [(free[0], 0)]):
+        got = toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
+        assert len(got) == len(ROWS) and all(r["predicted"] == 0 and r["score"] < 0.5 for r in got)
+    absent = [(i, 1) for i in range(1000, 1400)] + [(i, int(i == free[0])) for i in free]
+    few = toxicity.fit(docs, spark.createDataFrame(absent, "doc_id long, toxic int"), rows=len(free))
+    assert few.out_bias < 0 and few.out.any()  # trained on both classes of labelled documents, not on none
+
+
+def test_drop_toxic_goes_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"plain words number {i} here" + (" vilebad" if i % 4 == 0 else ""), "en", "s", 1) for i in range(400)]
+    more = [(None, "plain words vilebad here", None, None, None), (None, "plain words here", None, None, None), (1000, "plain words vilebad here", "en", "s", 1), (1000, "plain words number 2 here", "en", "s", 1)]
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame([*rows, *more], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_toxic(spark, df, str(tmp_path))
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    left = got.collect()
+    assert not [r for r in left if "vilebad" in r["text"]]
+    assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == [*(i for i in range(400) if i % 4), 1000]
+    assert [r["text"] for r in left if r["doc_id"] is None] == ["plain words here"]
+
+
 def test_empty_tables(none):
     assert shards.byte_shards(none).count() == 0
     assert records.read_records(records.write_records(none, tokenizer_file("byte_bpe_50k.json"))).count() == 0
