@@ -60,7 +60,8 @@ def unpack_entry(data: bytes) -> tuple[int, int, int, int]:
 
 
 class Encoder:
-    """Byte-level BPE of whole texts as little-endian uint32 bytes.
+    """Byte-level BPE of whole texts as little-endian uint32 bytes: the plain encode() of the tokenizer,
+    so the string of an added token such as <|endoftext|> becomes that token's id.
 
     No token of such a vocabulary spans the place before a single space between two other
     characters, so a text is the concatenation of its cut pieces' ids, and pieces are cached.
@@ -70,7 +71,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
 
     @staticmethod

@@ -54,6 +54,23 @@ def test_records_round_trip(docs):
         assert r["ids"] == tok.encode(order[r["record"]][1] or "", add_special_tokens=False).ids + [2]
 
 
+def test_added_tokens_as_plain_encode_gives_them(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    texts = ["one<|endoftext|> two", "a <|endoftext|>", "x <|endoftext|>  y<|endoftext|>\nz", "after"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = records.write_records(df, tokenizer_file("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r for r in records.read_records(files).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = tok.encode(t, add_special_tokens=False).ids + [2]
+        assert 50256 in ids or "<|" not in t
+        crc = zlib.crc32(np.array(ids, "<u4").tobytes())
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), crc)
+        start += len(ids)
+
+
 def test_broken_record_raises():
     record = bytearray(records.frame(b"\1\0\0\0"))
     assert records.unframe(bytes(record)) == b"\1\0\0\0"
