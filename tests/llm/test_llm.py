@@ -152,6 +152,37 @@ def test_hex_secrets_of_any_case(spark):
     assert all(not c.isupper() for c, v in zip(mix, mixed, strict=True) if not v.isupper())
 
 
+def test_names_keep_parts_script_and_mentions(spark):
+    texts = [
+        "Mr John Smith came. Smith agreed; John Smith's car, SMITH. Smithson stayed.",
+        "Mr Smith left, and Smith@site.org wrote.",
+        "Dr. Anne-Marie Smith and Mr John Paul Smith; Prof. Dr. O'Brien; Herr Jan van der Berg.",
+        "Господин Иван Петров пришёл. Петров и г-жа Петрова.",
+        "Κύριος Νίκος Παππάς ήρθε. Παππάς, κ. Παππάς.",
+        "Smith alone has no title here.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(df).collect()}
+    assert got[5] == texts[5] and "Smithson stayed." in got[0]
+    given, last = got[0].split()[1:3]
+    last = last if not last.endswith(".") else last[:-1]
+    assert got[0] == f"Mr {given} {last} came. {last} agreed; {given} {last}'s car, {last.upper()}. Smithson stayed."
+    assert got[1].startswith(f"Mr {last} left, and user") and "Smith" not in got[1]
+    assert got[2].count(f" {last}") == 2 and f"Mr {given} " in got[2]
+    assert not any(x in got[2] for x in ("Anne", "Marie", "Paul ", "Smith", "Brien", "Jan ", "Berg"))
+    assert not any(x in got[3] for x in ("Петров", "Иван ")) and not any("a" <= c <= "z" for c in got[3].lower())
+    assert not any(x in got[4] for x in ("Παππάς", "Νίκος")) and not any("a" <= c <= "z" for c in got[4].lower())
+    greek = got[4].split()[2]
+    assert got[4].count(greek) == 3
+
+
+def test_many_given_names_differ(spark):
+    texts = [f"Mr {a}{b} Smith" for a in ("Ab", "Ec", "Id", "Of", "Ug") for b in ("an", "en", "in", "on", "un", "ar", "er", "ir")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.replace_pii(df).collect()]
+    assert len(set(got)) == 40 and len({t.split(" ")[-1] for t in got}) == 1
+
+
 def full_viterbi(p, signs):
     best = [(0.0, ())]
     for end in range(1, len(signs) + 1):
