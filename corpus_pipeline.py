@@ -9,6 +9,8 @@ from etaforge.llm import pii, superminhash, tiling, toxicity, viterbi
 from etaforge.llm.queries import tokenizer_file
 from etaforge.session import write_through
 
+#: Documents are near copies from this share of common runs of five words on.
+NEAR_PERCENT = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -26,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group; of repeated rows of one id all stay."""
-    found = superminhash.near_components(docs)
+    found = superminhash.near_components(docs, least=NEAR_PERCENT)
     return without(docs, found.where("not kept"))
 
 

@@ -118,6 +118,17 @@ def test_components_match_brute_force(spark):
     assert all(got[i]["kept"] for i in (5000, 5001, 5002))
 
 
+def test_pipeline_drops_near_copies_from_080_on(spark):
+    import corpus_pipeline
+
+    # 100 runs of five words; words added at the end make as many runs of their own.
+    base = [f"w{k}" for k in range(104)]
+    more = {2: 24, 3: 26}  # similarity 100/124 = 0.806 and 100/126 = 0.794
+    rows = [(1, " ".join(base))] + [(i, " ".join([*base, *(f"x{i}y{k}" for k in range(n))])) for i, n in more.items()]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [1, 3]
+
+
 def test_tiling_finds_reordered_passages(spark):
     item = " ".join(f"q{k}" for k in range(40))
     moved = " ".join([f"q{k}" for k in range(20, 40)] + ["between"] + [f"q{k}" for k in range(20)])
