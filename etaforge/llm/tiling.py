@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_through
 from .common import map_texts, shingle_hashes
 
 TOKEN = re.compile(r"\w+")
 #: Shortest tile in words, and the least share of an item's words that tiles must cover.
 MIN_MATCH, COVERAGE = 5, 0.5
-#: Items are taken in blocks of at most so many bytes of text, each of which passes over the documents once.
+#: Items are taken in blocks of at most so many bytes of text (or one longer item), one block at a time, each of
+#: which is broadcast and passes over the documents once.
 BLOCK_BYTES = 64_000_000
 
 
@@ -95,37 +98,50 @@ def tile(p: np.ndarray, t: np.ndarray, width: int) -> int:
     return len(used_p)
 
 
+def _blocks(rows: DataFrame, most: int) -> Iterator[list[tuple[int | None, str]]]:
+    """(item_id, text) in blocks of at most `most` bytes of text; an empty block if there are no rows."""
+    block, size, first = [], 0, True
+    for r in rows.orderBy("item_id", "text").toLocalIterator():
+        n = len(r["text"].encode("utf-8", "surrogatepass"))
+        if block and size + n > most:
+            yield block
+            block, size, first = [], 0, False
+        block.append((r["item_id"], r["text"]))
+        size += n
+    if block or first:
+        yield block
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns plus contaminated, n_items, best_item, best_coverage of every row.
 
     An item counts if tiles of MIN_MATCH words or more cover at least `coverage` of its words, in
     any order. Words are letters, digits and underscores, lower-cased. Null or wordless texts and items match nothing;
     an item under MIN_MATCH words must occur whole. Repeated items count once by id; of equally covered items
-    the smallest id is best. Item ids that are null are skipped. An empty benchmark marks nothing.
+    the smallest id is best. Each distinct text of null id is an item of its own, best (with a null best_item)
+    only if it is covered more than all items with an id. An empty benchmark marks nothing.
     """
     spark = docs.sparkSession
-    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    blocks, block, size = [], [], 0
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        if block and size + len(r["text"]) > BLOCK_BYTES:
-            blocks.append(block)
-            block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"])
+    rows = benchmark.where("text is not null").select("item_id", "text").distinct()
+    shared = None
     out = docs.select(*keep, "text", F.lit(None).cast("array<struct<c:double,i:bigint>>").alias("hits"))
-    for block in [*blocks, block]:
+    for block in _blocks(rows, BLOCK_BYTES):
+        if shared is not None:  # the block before is done with and leaves the driver and the executors
+            out = write_through(out, "tiling-hits")
+            shared.destroy()
         shared = spark.sparkContext.broadcast(Seeds(block) if block else None)
 
         def run(texts: list, shared=shared) -> dict:
             hits = []
             for t in texts:
-                best: dict[int, float] = {}
+                best: dict = {}
                 if t and shared.value:
                     for k, covered, n in shared.value.matches(tokens(t)):
                         if covered >= coverage * n:
                             i = shared.value.ids[k]
-                            best[i] = max(best.get(i, 0.0), covered / n)
-                hits.append([{"c": c, "i": i} for i, c in best.items()])
+                            item = (i, k if i is None else -1)
+                            best[item] = max(best.get(item, 0.0), covered / n)
+                hits.append([{"c": c, "i": i} for (i, _), c in best.items()])
             return {"found": hits}
 
         made = map_texts(out.withColumn("_text", F.col("text")), run, (*keep, "text", "hits"), "found array<struct<c:double,i:bigint>>", text="_text")
@@ -135,7 +151,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
         *keep,
         "text",
         (F.size("hits") > 0).alias("contaminated"),
-        F.size(F.array_distinct(F.col("hits.i"))).alias("n_items"),
+        (
+            F.size(F.array_distinct(F.filter("hits.i", lambda i: i.isNotNull())))
+            + F.size(F.filter("hits.i", lambda i: i.isNull()))
+        ).alias("n_items"),
         (-best["i"]).alias("best_item"),
         best["c"].alias("best_coverage"),
     )

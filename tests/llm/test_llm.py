@@ -201,6 +201,20 @@ def full_viterbi(p, signs):
     return list(best[-1][1])
 
 
+def test_tiling_in_blocks_with_items_of_null_id(spark, monkeypatch):
+    item = {c: " ".join(f"{c}{k}é" for k in range(20)) for c in "abcd"}
+    docs = [(1, item["a"]), (2, item["b"] + " " + item["c"]), (3, item["d"] + " " + item["a"]), (None, item["c"]), (5, "nothing of these"), (6, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(7, item["a"]), (None, item["b"]), (None, item["c"]), (9, item["d"]), (9, item["d"])], "item_id long, text string")
+    size = len(item["a"].encode())
+    expected = {1: (True, 1, 7, 1.0), 2: (True, 2, None, 1.0), 3: (True, 2, 7, 1.0), None: (True, 1, None, 1.0), 5: (False, 0, None, None), 6: (False, 0, None, None)}
+    assert [len(b) for b in tiling._blocks(items.distinct(), 2 * size - 1)] == [1, 1, 1, 1]  # bytes, not signs
+    for most in (1, 2 * size, 64_000_000):
+        monkeypatch.setattr(tiling, "BLOCK_BYTES", most)
+        got = tiling.contamination(df, items).collect()
+        assert {r["doc_id"]: (r["contaminated"], r["n_items"], r["best_item"], r["best_coverage"]) for r in got} == expected
+
+
 @pytest.mark.parametrize("text", ["hello world", "thantionsh erebleou", "  a ▁ b\n\n", "é中𝄞x", "a" * 200, "▁"])
 def test_streaming_viterbi(text):
     p = viterbi.pieces(tokenizer_file("piece_bpe_32k.model"))
