@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, phrases, pii, records, shards, superminhash, tiling, toxicity, viterbi
+from . import importance, langid, phrases, pii, rankqueue, records, shards, spelling, superminhash, tiling, toxicity, viterbi
 from .common import table
+from .statements import STATEMENTS  # noqa: F401
 
 
 def tokenizer_file(name: str) -> str:
@@ -69,6 +70,29 @@ def op10_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.byte_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "benchmark", "text"))
+
+
+def op12_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    with open(tokenizer_file("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        made = rankqueue.encode(docs, f.read(), public_tokenizers.PATTERN)
+    return made.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_language_filters": op2_language_filters,
@@ -80,5 +104,7 @@ QUERIES = {
     "op8_superminhash": op8_superminhash,
     "op9_trie_token_counts": op9_trie_token_counts,
     "op10_byte_shards": op10_byte_shards,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_rank_queue": op12_rank_queue,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-STATEMENTS: dict[str, str] = {}
