@@ -30,7 +30,7 @@ from etaforge.operators.registry import (
 from etaforge.plans import features as feats
 from etaforge.plans import materialize, model, scoring
 from etaforge.session import pin_utc, scratch_dir, write_through
-from etaforge.sources import commerce, keyed, profile
+from etaforge.sources import commerce, history, keyed, profile
 from etaforge.streaming import jobs, sinks
 
 AS_OF = "2000-06-01 00:00:00"
@@ -377,6 +377,59 @@ def training_features_item_grain(spark, root):
     return _round(rows, *_TF_ROUNDED)
 
 
+WEEK = ("1996-03-04 00:00:00", "1996-03-11 00:00:00")
+# The history table of the test data: folders by month, as days would be thousands of tiny files.
+HISTORY_PERIOD = "month"
+
+
+def _stored_history(spark, root) -> DataFrame:
+    path = scratch_dir(spark, "history")
+    history.write_history(commerce.orders(spark, root), path, HISTORY_PERIOD, splits=1)
+    return history.read_history(spark, path)
+
+
+@registered
+def training_features_week(spark, root):
+    """One week's training set from a stored history, of which the months of the week and of the 30
+    days before it are read."""
+    stored = _stored_history(spark, root)
+    rows = feats.training_features(
+        commerce.tables(spark, root), *WEEK, history=stored, period=HISTORY_PERIOD
+    )
+    return _round(rows, *_TF_ROUNDED)
+
+
+@registered
+def order_features_newest(spark, root):
+    """All features of the 200 newest confirmed orders from a stored history, pruned to their time."""
+    t = commerce.tables(spark, root)
+    targets = write_through(scoring.confirmed_orders(t, limit=200).drop("quantity", "latitude", "longitude"), "newest")
+    out = feats.order_features(
+        targets, t, history=_stored_history(spark, root), span=history.span_of(targets), period=HISTORY_PERIOD
+    )
+    return _round(
+        out.select("order_id", *scoring.MODEL_FEATURES),
+        "restaurant_avg_delivery_minutes_30d",
+        "distance_km",
+    )
+
+
+@registered
+def rolling_store_distinct_customers(spark, root):
+    """Exact numbers of different customers per store in the 7 and 30 days before each order."""
+    aggs = [RollingAgg(f"customers_{days}d", "distinct", days, "customer_id") for days in (7, 30)]
+    out = feats.with_store_history(*_targets_and_history(spark, root), aggs)
+    return out.select("order_id", *(a.name for a in aggs))
+
+
+@registered
+def rolling_store_median(spark, root):
+    """Windows of the test data hold fewer rows than a sketch keeps, so these medians are exact."""
+    aggs = [RollingAgg(f"median_{days}d", "median", days) for days in (7, 30)]
+    out = feats.with_store_history(*_targets_and_history(spark, root), aggs)
+    return _round(out.select("order_id", *(a.name for a in aggs)), *(a.name for a in aggs))
+
+
 @registered
 def order_features(spark, root):
     """All features of the confirmed orders, computed at their creation times."""

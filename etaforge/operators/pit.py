@@ -31,71 +31,123 @@ from etaforge.functions.clock import SECONDS_PER_DAY
 KINDS = ("count", "mean", "sum", "min", "max", "stddev")
 
 
+@dataclass(frozen=True)
+class Partial:
+    """A mergeable piece of an aggregate: how one history row enters, how rows become a piece
+    (as pieces merge unless said otherwise), and how pieces merge."""
+
+    name: str
+    of_row: Column
+    merge: Callable[[Column], Column]
+    first: Callable[[Column], Column] | None = None
+
+    def of_rows(self, rows: Column) -> Column:
+        return (self.first or self.merge)(rows)
+
+
+@dataclass(frozen=True)
+class Mergeable:
+    """An aggregate as its pieces and the value that the merged pieces give, NULL where there are
+    none. `result` gets a function from a piece's name to its column. Pieces of one name are shared
+    by all aggregates of a pass. Both are functions, as columns exist in a session only."""
+
+    pieces: Callable[[], tuple[Partial, ...]]
+    result: Callable[[Callable[[str], Column]], Column]
+    whole: bool = False  # a whole number, not a double
+
+
+def _rows() -> Partial:
+    return Partial("n", F.lit(1).cast("long"), F.sum)
+
+
+def _known() -> Partial:
+    return Partial("nv", F.col("value").isNotNull().cast("long"), F.sum)
+
+
+def _total() -> Partial:
+    return Partial("s", F.col("value"), F.sum)
+
+
+def _spread() -> tuple[Partial, ...]:
+    from_center = F.col("value") - F.col("center")
+    return _known(), Partial("d", from_center, F.sum), Partial("q", from_center * from_center, F.sum)
+
+
+def _deviation(piece: Callable[[str], Column]) -> Column:
+    n, d, q = piece("nv"), piece("d"), piece("q")
+    spread = F.greatest(q - F.try_divide(d * d, n), F.lit(0.0))
+    return F.sqrt(F.try_divide(spread, n - 1))
+
+
+def quantile_aggregate(share: float, k: int = 200) -> Mergeable:
+    """A quantile from mergeable KLL sketches of `k`: the rank is off by about 1.65 % of the window's
+    rows at k = 200, and by nothing while a window has fewer than k rows. It is a value that occurs."""
+    name = f"kll{k}"
+
+    def pieces() -> tuple[Partial, ...]:
+        sketch = Partial(
+            name, F.col("value"), lambda c: F.kll_merge_agg_double(c, k), lambda c: F.kll_sketch_agg_double(c, k)
+        )
+        return _known(), sketch
+
+    def result(piece: Callable[[str], Column]) -> Column:
+        # Of an empty sketch there is no quantile to ask for.
+        return F.kll_sketch_get_quantile_double(F.when(piece("nv") > 0, piece(name)), F.lit(share))
+
+    return Mergeable(pieces, result)
+
+
+AGGREGATES: dict[str, Mergeable] = {
+    "count": Mergeable(lambda: (_rows(),), lambda piece: piece("n"), whole=True),
+    "mean": Mergeable(lambda: (_known(), _total()), lambda piece: F.try_divide(piece("s"), piece("nv"))),
+    "sum": Mergeable(lambda: (_total(),), lambda piece: piece("s")),
+    "min": Mergeable(lambda: (Partial("lo", F.col("value"), F.min),), lambda piece: piece("lo")),
+    "max": Mergeable(lambda: (Partial("hi", F.col("value"), F.max),), lambda piece: piece("hi")),
+    "stddev": Mergeable(_spread, _deviation),
+    "median": quantile_aggregate(0.5),
+}
+
+
+def register_aggregate(kind: str, aggregate: Mergeable) -> None:
+    """Make `kind` usable in every rolling aggregate and feature; a known kind cannot be replaced."""
+    if kind in AGGREGATES or kind == "distinct":
+        raise ValueError(f"aggregate {kind!r} exists")
+    AGGREGATES[kind] = aggregate
+
+
 @dataclass(frozen=True)
 class RollingAgg:
-    """One output column: `kind` of the value over the last `window_days` days."""
+    """One output column: `kind` of the value over the last `window_days` days. The kind "distinct"
+    counts the different non-null values of the history column `of`."""
 
     name: str
     kind: str
     window_days: int
+    of: str | None = None
 
     def __post_init__(self) -> None:
-        if self.kind not in KINDS:
-            raise ValueError(f"unknown aggregate {self.kind!r}; use one of {KINDS}")
+        if self.kind != "distinct" and self.kind not in AGGREGATES:
+            raise ValueError(f"unknown aggregate {self.kind!r}; use one of {(*AGGREGATES, 'distinct')}")
+        if (self.kind == "distinct") != (self.of is not None):
+            raise ValueError("name the column to count in `of`, for the kind 'distinct' only")
         if self.window_days < 1:
             raise ValueError("window_days must be at least 1")
 
-
-@dataclass(frozen=True)
-class Partial:
-    """A mergeable piece of an aggregate: how one history row enters, and how pieces merge."""
-
-    name: str
-    of_row: Column
-    merge: Callable[[Column], Column]
+    @property
+    def whole(self) -> bool:
+        return self.kind == "distinct" or AGGREGATES[self.kind].whole
 
 
 def _partials(aggs: list[RollingAgg]) -> list[Partial]:
-    """Only the pieces the requested aggregates need."""
-    value = F.col("value")
-    kinds = {agg.kind for agg in aggs}
-    pieces = [Partial("n", F.lit(1).cast("long"), F.sum)]
-    if kinds & {"mean", "sum", "stddev"}:
-        pieces.append(Partial("nv", value.isNotNull().cast("long"), F.sum))
-    if kinds & {"mean", "sum"}:
-        pieces.append(Partial("s", value, F.sum))
-    if "stddev" in kinds:
-        from_center = value - F.col("center")
-        pieces.append(Partial("d", from_center, F.sum))
-        pieces.append(Partial("q", from_center * from_center, F.sum))
-    if "min" in kinds:
-        pieces.append(Partial("lo", value, F.min))
-    if "max" in kinds:
-        pieces.append(Partial("hi", value, F.max))
-    return pieces
+    """Only the pieces the requested aggregates need, each once."""
+    pieces = {p.name: p for agg in aggs for p in AGGREGATES[agg.kind].pieces()}
+    return list(({"n": _rows()} | pieces).values())
 
 
 def _result(agg: RollingAgg) -> Column:
     """Final value from the merged pieces; an empty window gives 0."""
-
-    def piece(name: str) -> Column:
-        return F.col(f"{name}_{agg.window_days}")
-
-    if agg.kind == "count":
-        return F.coalesce(piece("n"), F.lit(0)).cast("long").alias(agg.name)
-    if agg.kind == "mean":
-        value = F.try_divide(piece("s"), piece("nv"))
-    elif agg.kind == "sum":
-        value = piece("s")
-    elif agg.kind == "min":
-        value = piece("lo")
-    elif agg.kind == "max":
-        value = piece("hi")
-    else:
-        n, d, q = piece("nv"), piece("d"), piece("q")
-        spread = F.greatest(q - F.try_divide(d * d, n), F.lit(0.0))
-        value = F.sqrt(F.try_divide(spread, n - 1))
-    return F.coalesce(value, F.lit(0.0)).alias(agg.name)
+    value = AGGREGATES[agg.kind].result(lambda name: F.col(f"{name}_{agg.window_days}"))
+    return F.coalesce(value, F.lit(0.0)).cast("long" if agg.whole else "double").alias(agg.name)
 
 
 def rolling_features(
@@ -113,23 +165,87 @@ def rolling_features(
     `moments` may name any frame with at least the (key, as_of) pairs of `targets`; give one when
     `targets` is the result of joins that need not run a second time to find those pairs.
     """
-    windows = sorted({agg.window_days for agg in aggs})
-    parts = _partials(aggs)
-    if any(agg.kind == "stddev" for agg in aggs):
-        history = _with_center(history, key, value)
     asked = targets if moments is None else moments
-    seconds = _seconds_with_probes(asked, history, key, as_of, event_time, value, windows, parts)
-    answers = _window_answers(seconds, windows, parts).select(
-        F.col("k").alias("_k"), F.col("t").alias("_t"), *(_result(agg) for agg in aggs)
+    mergeable = [agg for agg in aggs if agg.kind != "distinct"]
+    answers = []
+    if mergeable:
+        windows = sorted({agg.window_days for agg in mergeable})
+        parts = _partials(mergeable)
+        rows = _with_center(history, key, value) if any(p.name == "q" for p in parts) else history
+        seconds = _seconds_with_probes(asked, rows, key, as_of, event_time, value, windows, parts)
+        answers.append(_window_answers(seconds, windows, parts).select("k", "t", *map(_result, mergeable)))
+    for of in sorted({agg.of for agg in aggs if agg.kind == "distinct"}):
+        own = [agg for agg in aggs if agg.kind == "distinct" and agg.of == of]
+        answers.append(distinct_answers(asked, history, key, of, as_of, event_time, own))
+    out = targets.withColumn("_as_of", F.unix_seconds(as_of))
+    for answer in answers:
+        answer = answer.withColumnsRenamed({"k": "_k", "t": "_t"})
+        out = out.join(answer, (F.col(key) == F.col("_k")) & (F.col("_as_of") == F.col("_t")), "left")
+        out = out.drop("_k", "_t")
+    filled = {agg.name: F.coalesce(F.col(agg.name), F.lit(0 if agg.whole else 0.0)) for agg in aggs}
+    return out.withColumns(filled).drop("_as_of").select(*targets.columns, *(agg.name for agg in aggs))
+
+
+def distinct_answers(
+    targets: DataFrame, history: DataFrame, key: str, of: str, as_of: str, event_time: str, aggs: list[RollingAgg]
+) -> DataFrame:
+    """k, t and an exact distinct count per aggregate for every (key, as_of second) of the targets.
+
+    A value counts at second t if its last visit before t lies at t - w or later. So a visit at
+    second s whose next one (same key and value) is at s' counts for every t in
+    [s + 1, min(s', s + w)], and the visits of one value never count twice. The count at t is then a
+    running sum of steps: +1 where such an interval begins, -1 behind its end. Intervals are cut at
+    span borders (a span is as long as the window), so a running sum starts at 0 in each span and a
+    task holds at most the seconds of one (key, span). Next visits are looked up in spans as well: the
+    first visit of a span is handed to the span before.
+    """
+    spans = {agg.window_days * SECONDS_PER_DAY: agg.name for agg in aggs}
+    longest = max(spans)
+    visits = (
+        history.where(F.col(key).isNotNull() & F.col(of).isNotNull() & F.col(event_time).isNotNull())
+        .select(F.col(key).alias("k"), F.col(of).alias("v"), F.unix_seconds(event_time).alias("sec"))
+        .select("*", F.floor(F.col("sec") / longest).alias("part"))
+        .groupBy("k", "v", "part", "sec")
+        .agg(F.lit(True).alias("own"))
+    )
+    heads = visits.groupBy("k", "v", F.col("part") - 1).agg(F.min("sec").alias("sec"))
+    heads = heads.toDF("k", "v", "part", "sec").withColumn("own", F.lit(False))
+    onward = Window.partitionBy("k", "v", "part").orderBy("sec")
+    visits = visits.unionByName(heads).withColumn("next", F.lead("sec").over(onward)).where("own")
+
+    def steps(span: int) -> Column:
+        """The interval's part in its first span, and in the next one if it reaches there."""
+        first = F.col("sec") + 1
+        last = F.least(F.coalesce(F.col("next"), first + span), F.col("sec") + span)
+        border = (F.floor(first / span) + 1) * span  # first second of the span after
+
+        def step(at: Column, delta: int) -> Column:
+            return F.struct(F.lit(span).alias("span"), at.alias("sec"), F.lit(delta).cast("long").alias("delta"))
+
+        return F.array(
+            step(first, 1),
+            F.when(last + 1 < border, step(last + 1, -1)),
+            F.when(last >= border, step(border, 1)),
+            F.when(last >= border, step(last + 1, -1)),
+        )
+
+    changes = visits.select("k", F.explode(F.array_compact(F.concat(*map(steps, spans)))).alias("c")).select(
+        "k", "c.*", F.lit(False).alias("asked")
+    )
+    probes = (
+        targets.where(F.col(key).isNotNull() & F.col(as_of).isNotNull())
+        .select(F.col(key).alias("k"), F.unix_seconds(as_of).alias("sec"))
+        .select("k", F.explode(F.array(*map(F.lit, spans))).alias("span"), "sec")
+        .withColumns({"delta": F.lit(0).cast("long"), "asked": F.lit(True)})
+    )
+    seconds = changes.unionByName(probes).groupBy("span", "k", F.floor(F.col("sec") / F.col("span")).alias("part"), "sec").agg(
+        F.sum("delta").alias("delta"), F.bool_or("asked").alias("asked")
     )
-    matched = targets.withColumn("_as_of", F.unix_seconds(as_of)).join(
-        answers, (F.col(key) == F.col("_k")) & (F.col("_as_of") == F.col("_t")), "left"
+    until = Window.partitionBy("span", "k", "part").orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
+    counted = seconds.withColumn("n", F.sum("delta").over(until)).where("asked")
+    return counted.groupBy("k", F.col("sec").alias("t")).agg(
+        *(F.max(F.when(F.col("span") == span, F.col("n"))).alias(name) for span, name in spans.items())
     )
-    filled = {
-        agg.name: F.coalesce(F.col(agg.name), F.lit(0 if agg.kind == "count" else 0.0))
-        for agg in aggs
-    }
-    return matched.withColumns(filled).drop("_k", "_t", "_as_of")
 
 
 def _with_center(history: DataFrame, key: str, value: str) -> DataFrame:
@@ -190,7 +306,7 @@ def _seconds_with_probes(
     return (
         facts.unionByName(probes, allowMissingColumns=True)
         .groupBy("span", "k", F.floor(F.col("sec") / F.col("span")).alias("part"), "sec")
-        .agg(*(p.merge(F.col(p.name)).alias(p.name) for p in parts), F.bit_or("marks").alias("marks"))
+        .agg(*(p.of_rows(F.col(p.name)).alias(p.name) for p in parts), F.bit_or("marks").alias("marks"))
     )
 
 

@@ -18,7 +18,9 @@ ENTITY_KEYS = {"restaurant": "store_id", "customer": "customer_id"}
 
 @dataclass(frozen=True)
 class FeatureSpec:
-    """A named feature. `aggregation` is "none" for values taken from the order itself."""
+    """A named feature. `aggregation` is "none" for values taken from the order itself, else a kind of
+    `RollingAgg`: one of `pit.AGGREGATES`, to which `register_aggregate` adds, or "distinct" with the
+    counted history column in `of`."""
 
     name: str
     entity: str
@@ -27,9 +29,10 @@ class FeatureSpec:
     freshness: str = "static"
     dtype: str = "float"
     version: int = 1
+    of: str | None = None
 
     def rolling(self) -> RollingAgg:
-        return RollingAgg(self.name, self.aggregation, self.window_days)
+        return RollingAgg(self.name, self.aggregation, self.window_days, self.of)
 
 
 class Registry:
@@ -72,16 +75,17 @@ class Registry:
     def metadata(self, spark: SparkSession) -> DataFrame:
         """One row per feature with a hash of its definition."""
         rows = [
-            (s.name, s.entity, s.aggregation, s.window_days, s.freshness, s.dtype, s.version)
+            (s.name, s.entity, s.aggregation, s.window_days, s.freshness, s.dtype, s.version, s.of)
             for s in self._specs.values()
         ]
         table = spark.createDataFrame(
             rows,
             "feature_name string, entity string, aggregation string, window_days int, "
-            "freshness string, dtype string, version int",
+            "freshness string, dtype string, version int, of string",
         )
-        definition = F.to_json(F.struct("entity", "aggregation", "window_days", "dtype"))
-        return table.withColumn("definition_hash", F.sha2(definition, 256))
+        # to_json leaves NULL fields out, so `of` is part of the hash of distinct counts only.
+        definition = F.to_json(F.struct("entity", "aggregation", "window_days", "dtype", "of"))
+        return table.withColumn("definition_hash", F.sha2(definition, 256)).drop("of")
 
 
 # The features every deployment has.

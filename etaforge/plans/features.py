@@ -5,21 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from etaforge.functions.clock import day_of_week, elapsed_minutes, hour_of_day, is_weekend
+from etaforge.functions.clock import day_of_week, hour_of_day, is_weekend
 from etaforge.functions.geo import haversine_km
 from etaforge.functions.guards import quantity_or_one
 from etaforge.operators.joins import fanout_left_join
 from etaforge.operators.pit import RollingAgg, rolling_features
+from etaforge.sources.history import Span, delivered, visible_history
 from etaforge.sources.tables import DeliveryTables
 
 
-def delivered(orders: DataFrame) -> DataFrame:
-    """Delivered orders with their delivery minutes: the history of every aggregate."""
-    return orders.where(F.col("delivered_at").isNotNull()).withColumn(
-        "delivery_time_minutes", elapsed_minutes(F.col("created_at"), F.col("delivered_at"))
-    )
-
-
 def order_quantities(order_items: DataFrame) -> DataFrame:
     """Summed quantity per order, combined map-side so that no order's items meet in one task."""
     return order_items.groupBy("order_id").agg(F.sum("quantity").alias("quantity"))
@@ -131,10 +125,20 @@ def feature_columns(window_days: int = 30) -> list[str]:
 
 
 def order_features(
-    targets: DataFrame, tables: DeliveryTables, window_days: int = 30
+    targets: DataFrame,
+    tables: DeliveryTables,
+    window_days: int = 30,
+    history: DataFrame | None = None,
+    span: Span = (None, None),
+    period: str = "day",
 ) -> DataFrame:
-    """Every feature for the given orders, as of each order's own `created_at`."""
-    history = delivered(tables.orders)
+    """Every feature for the given orders, as of each order's own `created_at`.
+
+    With a stored `history` and the `span` of the targets (`span_of`) only the periods that their windows
+    touch are read.
+    """
+    history = delivered(tables.orders) if history is None else history
+    history = visible_history(history, span, window_days, period)
     out = with_store_history(targets, history, store_aggs(window_days))
     out = with_customer_history(out, history, customer_aggs(window_days))
     out = with_order_features(with_store_location(out, tables.stores))
@@ -147,10 +151,14 @@ def training_features(
     end: str | None = None,
     window_days: int = 30,
     grain: str = "order",
+    history: DataFrame | None = None,
+    period: str = "day",
 ) -> DataFrame:
     """Training set. `grain="item"` repeats an order for each of its items.
 
-    Item rows are joined last: features are computed once per order, not once per item.
+    Item rows are joined last: features are computed once per order, not once per item. Of the
+    history only `[start - window, end)` is read; one stored by `write_history` is pruned to the
+    folders of those periods.
     """
     if grain not in ("order", "item"):
         raise ValueError("grain must be 'order' or 'item'")
@@ -158,7 +166,8 @@ def training_features(
         "order_id", "customer_id", "store_id", "created_at", "delivery_time_minutes",
         "delivery_latitude", "delivery_longitude", "total",
     )
-    history = delivered(tables.orders)
+    history = delivered(tables.orders) if history is None else history
+    history = visible_history(history, (start, end), window_days, period)
     out = with_store_history(base, history, store_aggs(window_days))
     out = with_customer_history(out, history, customer_aggs(window_days))
     out = with_order_features(with_store_location(out, tables.stores))

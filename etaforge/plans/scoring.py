@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from etaforge.functions.clock import parse_iso
 from etaforge.functions.guards import request_quantity
 from etaforge.functions.jsonmap import encode_features
-from etaforge.operators.online import lookup, with_fallback
+from etaforge.operators.online import lookup
 from etaforge.operators.validate import rejected_rows, valid_rows, with_reasons
 from etaforge.plans.features import (
     customer_aggs,
@@ -20,6 +20,8 @@ from etaforge.plans.features import (
     with_store_history,
     with_store_location,
 )
+from etaforge.session import write_through
+from etaforge.sources.history import Span, span_of, visible_history
 from etaforge.sources.tables import DeliveryTables
 
 STORE_FEATURES = ["restaurant_avg_delivery_minutes_30d", "restaurant_order_count_30d"]
@@ -59,27 +61,58 @@ def confirmed_orders(
     return out.orderBy(*newest_first) if ordered else out
 
 
+def fill_from_history(requests: DataFrame, history: DataFrame, window_days: int = 30, period: str = "day") -> DataFrame:
+    """The store and customer features that the online snapshot lacks, computed from deliveries
+    before the order's creation; a group is taken as a whole when its first feature is NULL.
+
+    The requests are stored first, as they are read once to find what is lacking. Of the history
+    only the periods that windows of the lacking ones touch are read, of those only the lacking
+    entities' rows are shuffled, and where nothing is lacking the history is not read at all.
+    """
+    requests = write_through(requests, "looked-up")
+    groups = (
+        ("store_id", STORE_FEATURES, with_store_history, store_aggs(window_days)),
+        ("customer_id", CUSTOMER_FEATURES, with_customer_history, customer_aggs(window_days)[:1]),
+    )
+    for key, names, with_history, aggs in groups:
+        lacking = requests.where(F.col(names[0]).isNull())
+        span = span_of(lacking)
+        if span[0] is None:
+            continue
+        moments = lacking.select(key, "created_at")
+        seen = visible_history(history, span, window_days, period)
+        own = seen.join(moments.select(key).distinct(), key, "left_semi")
+        cached = requests.withColumnsRenamed({n: f"cached_{n}" for n in names})
+        hit = F.col(f"cached_{names[0]}").isNotNull()
+        requests = with_history(cached, own, aggs, moments)
+        requests = requests.withColumns({n: F.when(hit, F.col(f"cached_{n}")).otherwise(F.col(n)) for n in names})
+        requests = requests.drop(*(f"cached_{n}" for n in names))
+    return requests
+
+
 def inference_features(
     requests: DataFrame,
     history: DataFrame,
     online: DataFrame | None = None,
     now: Column | None = None,
     moments: DataFrame | None = None,
+    span: Span = (None, None),
+    period: str = "day",
 ) -> DataFrame:
-    """Requests with all model features: cached entity values first, computed ones else.
+    """Requests with all model features: cached entity values first, computed ones for the misses only.
 
-    `moments`: a cheaper frame that holds the requests' keys and times, see `rolling_features`.
+    `moments`: a cheaper frame that holds the requests' keys and times, see `rolling_features`;
+    `span`: the first and last of those times, to which the history is pruned. Both serve requests
+    without an online snapshot.
     """
-    out = with_store_history(requests, history, store_aggs(), moments)
-    out = with_customer_history(out, history, customer_aggs()[:1], moments)
-    if online is not None:
-        names = (*STORE_FEATURES, *CUSTOMER_FEATURES)
-        out = out.withColumnsRenamed({n: f"computed_{n}" for n in names})
-        out = lookup(out, online, "restaurant", "store_id", STORE_FEATURES, now)
-        out = lookup(out, online, "customer", "customer_id", CUSTOMER_FEATURES, now)
-        out = out.withColumnsRenamed({n: f"cached_{n}" for n in names})
-        out = with_fallback(out, "cached_", "computed_", STORE_FEATURES, CUSTOMER_FEATURES)
-    return with_order_features(out)
+    if online is None:
+        history = visible_history(history, span, 30, period)
+        out = with_store_history(requests, history, store_aggs(), moments)
+        out = with_customer_history(out, history, customer_aggs()[:1], moments)
+        return with_order_features(out)
+    out = lookup(requests, online, "restaurant", "store_id", STORE_FEATURES, now)
+    out = lookup(out, online, "customer", "customer_id", CUSTOMER_FEATURES, now)
+    return with_order_features(fill_from_history(out, history, period=period))
 
 
 def rule_minutes(
@@ -144,13 +177,21 @@ def score_batch(
     now: Column | None = None,
     created_at: Column | None = None,
     period: str = "day",
+    history: DataFrame | None = None,
+    history_period: str = "day",
 ) -> tuple[DataFrame, DataFrame]:
-    """`(predictions, rejects)` for confirmed orders; `score` maps a feature frame to a scored one."""
+    """`(predictions, rejects)` for confirmed orders; `score` maps a feature frame to a scored one.
+
+    `history` may be a stored one, of which the periods that the pending orders see are read.
+    """
     checked = with_reasons(confirmed_orders(tables, limit), scoring_rules())
     # With a limit the few orders themselves are the cheaper source of moments.
-    moments = None if limit else pending_orders(tables.orders)
-    history = delivered(tables.orders)
-    features = inference_features(valid_rows(checked), history, online, now, moments)
+    pending = pending_orders(tables.orders)
+    span = span_of(pending) if online is None else (None, None)
+    history = delivered(tables.orders) if history is None else history
+    features = inference_features(
+        valid_rows(checked), history, online, now, None if limit else pending, span, history_period
+    )
     return as_predictions(score(features), created_at, period=period), rejected_rows(checked)
 
 

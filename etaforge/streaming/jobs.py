@@ -9,17 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from etaforge.functions.clock import SECONDS_PER_DAY
 from etaforge.operators.online import by_entity, lookup_entities
 from etaforge.operators.validate import rejected_rows, valid_rows, with_reasons
-from etaforge.plans.features import (
-    customer_aggs,
-    store_aggs,
-    with_customer_history,
-    with_order_features,
-    with_store_history,
-)
+from etaforge.plans.features import with_order_features
 from etaforge.plans.scoring import (
     CUSTOMER_FEATURES,
     STORE_FEATURES,
     as_predictions,
+    fill_from_history,
     scoring_rules,
 )
 from etaforge.session import write_through
@@ -33,21 +28,6 @@ DEDUP_GROUPS = 64
 # --- scoring ---------------------------------------------------------------------------------
 
 
-def fill_from_history(requests: DataFrame, history: DataFrame) -> DataFrame:
-    """The store and customer features that the online snapshot lacks, computed from deliveries
-    before the order's creation. Only the history of the lacking entities is shuffled."""
-    groups = (
-        ("store_id", STORE_FEATURES, with_store_history, store_aggs()),
-        ("customer_id", CUSTOMER_FEATURES, with_customer_history, customer_aggs()[:1]),
-    )
-    for key, names, with_history, aggs in groups:
-        lacks = F.col(names[0]).isNull()
-        lacking = requests.where(lacks).drop(*names)
-        own = history.join(lacking.select(key).distinct(), key, "left_semi")
-        requests = requests.where(~lacks).unionByName(with_history(lacking, own, aggs))
-    return requests
-
-
 def score_requests(
     requests: DataFrame,
     stores: DataFrame,
@@ -58,17 +38,19 @@ def score_requests(
     period: str = "day",
     seq: int = 0,
     history: DataFrame | None = None,
+    history_period: str = "day",
 ) -> tuple[DataFrame, DataFrame]:
     """Parsed orders to `(predictions, rejects)` with features of the online snapshot, given as
     `by_entity` tables. Those of an entity without live features are computed from `history`
-    (delivered orders); without one it counts as an entity without history. Of predictions with
-    one `created_at` that of the greatest `seq` is the latest.
+    (delivered orders, of which only the time that these orders' windows cover is read); without one
+    it counts as an entity without history. Of predictions with one `created_at` that of the
+    greatest `seq` is the latest.
     """
     checked = with_reasons(requests, scoring_rules())
     good = lookup_entities(valid_rows(checked), stores, "store_id", STORE_FEATURES, now)
     good = lookup_entities(good, customers, "customer_id", CUSTOMER_FEATURES, now)
     if history is not None:
-        good = fill_from_history(good, history)
+        good = fill_from_history(good, history, period=history_period)
     good = good.fillna(0.0, [*STORE_FEATURES, *CUSTOMER_FEATURES])
     scored = score(with_order_features(good))
     return as_predictions(scored, created_at, seq, period), rejected_rows(checked)
@@ -85,18 +67,20 @@ def stream_scoring(
     created_at=None,
     period: str = "day",
     history: DataFrame | None = None,
+    history_period: str = "day",
 ) -> StreamingQuery:
     """Score a stream of orders into the prediction table; rejects are kept with their reasons.
 
     The online rows are turned to one row per entity once, when the job starts; `history` serves
-    the entities without a live row and is read in each batch.
+    the entities without a live row. A batch reads the part from its first order's window on to
+    its last order: literal bounds, and folders of a stored history (`write_history`).
     """
     stores = write_through(by_entity(online, "restaurant", STORE_FEATURES), "online-stores")
     customers = write_through(by_entity(online, "customer", CUSTOMER_FEATURES), "online-customers")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         predictions, rejects = score_requests(
-            batch, stores, customers, score, now, created_at, period, batch_id, history
+            batch, stores, customers, score, now, created_at, period, batch_id, history, history_period
         )
         upsert(predictions, predictions_path)
         store_batch(rejects, batch_id, rejects_path)

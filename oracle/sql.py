@@ -404,7 +404,21 @@ def statements() -> dict[str, str]:
     select ps.order_id, round(p7.a,6) as avg_7d, p7.n as count_7d, round(ps.a,6) as avg_30d,
       ps.n as count_30d from ps join p7 on p7.order_id=ps.order_id""",
         p7=_pit("hist", "store_id", 7))
+    for name, value, source in (
+        ("distinct_customers", "count(distinct h.customer_id)", "customers"),
+        ("median", "round(coalesce(quantile_disc(h.minutes, 0.5), 0), 6)", "median"),
+    ):
+        windows = (f"""
+    (select t.order_id, {value} as {source}_{days}d from hist t left join hist h
+      on h.store_id=t.store_id and h.delivered_at < date_trunc('second', t.created_at)
+     and h.delivered_at >= date_trunc('second', t.created_at) - interval {days} day
+    group by t.order_id)""" for days in (7, 30))
+        out[f"rolling_store_{name}"] = query("select * from" + " join".join(
+            f"{w} w{i}" + (" using (order_id)" if i else "") for i, w in enumerate(windows)))
     out["training_features"] = query(f"select {TF_COLUMNS} from tf")
+    out["training_features_week"] = query(f"""
+    select {TF_COLUMNS} from tf
+    where created_at >= timestamp '1996-03-04 00:00:00' and created_at < timestamp '1996-03-11 00:00:00'""")
     out["training_features_item_grain"] = query(f"""
     select tf.order_id, created_at, {rounded('delivery_time_minutes, restaurant_avg_delivery_minutes_30d')},
       restaurant_order_count_30d, customer_order_count_30d,
@@ -415,6 +429,10 @@ def statements() -> dict[str, str]:
     select order_id, {rounded('restaurant_avg_delivery_minutes_30d')}, restaurant_order_count_30d,
       customer_order_count_30d, {rounded('distance_km')}, hour_of_day, day_of_week, is_weekend,
       total, quantity from cf""")
+    out["order_features_newest"] = query(f"""
+    select order_id, {rounded('restaurant_avg_delivery_minutes_30d')}, restaurant_order_count_30d,
+      customer_order_count_30d, {rounded('distance_km')}, hour_of_day, day_of_week, is_weekend,
+      total, quantity from cf order by created_at desc, order_id limit 200""")
     out["registry_features"] = query("""
     select x7.order_id, round(x7.a,6) as restaurant_avg_delivery_minutes_7d,
       round(x30.a,6) as restaurant_avg_delivery_minutes_30d, x30.n as restaurant_order_count_30d,

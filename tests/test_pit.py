@@ -145,7 +145,7 @@ def test_registry_replaces_by_name_and_hashes_definitions(spark):
 
 def test_unknown_aggregate_is_refused():
     with pytest.raises(ValueError):
-        RollingAgg("x", "median", 30)
+        RollingAgg("x", "mode", 30)
 
 
 @pytest.mark.parametrize(
