@@ -31,7 +31,8 @@ from etaforge.plans import features as feats
 from etaforge.plans import materialize, model, scoring
 from etaforge.session import pin_utc, scratch_dir, write_through
 from etaforge.sources import commerce, history, keyed, profile
-from etaforge.streaming import jobs, sinks
+from etaforge.streaming import jobs, late, sinks
+from etaforge.streaming import keyed as keyed_state
 
 AS_OF = "2000-06-01 00:00:00"
 DRIFT_SPLIT = "1998-04-01 00:00:00"
@@ -945,11 +946,10 @@ def stream_score(spark, root):
     requests = feats.with_quantity(feats.with_store_location(t.orders, t.stores), t.order_items)
     out, checkpoint = _paths(spark, "stream-score")
     online = write_through(_online(spark, root), "online")
-    for stream in sinks.arrivals(requests, "requests", "created_at"):
-        jobs.stream_scoring(
-            stream, online, scoring.rule_scores, out, f"{out}-rejects",
-            checkpoint, _ts(AS_OF), _ts("2024-01-01 00:00:00"), PERIOD, feats.delivered(t.orders),
-        )
+    jobs.stream_scoring(
+        sinks.staged(requests, "requests", "created_at"), online, scoring.rule_scores, out, f"{out}-rejects",
+        checkpoint, _ts(AS_OF), _ts("2024-01-01 00:00:00"), PERIOD, _stored_history(spark, root), HISTORY_PERIOD,
+    )
     columns = ["order_id", "store_id", "predicted_delivery_minutes", "prediction_timestamp"]
     return _round(spark.read.parquet(out).select(*columns), "predicted_delivery_minutes")
 
@@ -958,8 +958,7 @@ def stream_score(spark, root):
 def order_lifecycle(spark, root):
     events = commerce.lifecycle_events(commerce.orders(spark, root, with_store=False))
     out, checkpoint = _paths(spark, "lifecycle")
-    for stream in sinks.arrivals(events, "events", "event_at"):
-        jobs.stream_lifecycle(stream, out, checkpoint)
+    jobs.stream_lifecycle(sinks.staged(events, "events", "event_at"), out, checkpoint)
     return jobs.read_lifecycles(spark, out)
 
 
@@ -969,17 +968,17 @@ def stream_store_metrics(spark, root):
         "store_id", "delivered_at", "delivery_time_minutes"
     )
     out, checkpoint = _paths(spark, "store-metrics")
-    for stream in sinks.arrivals(rows, "delivered", "delivered_at"):
-        jobs.stream_store_days(stream, out, checkpoint)
+    jobs.stream_store_days(sinks.staged(rows, "delivered", "delivered_at"), out, checkpoint)
     return _round(jobs.sliding_windows(jobs.read_store_days(spark, out)), "avg_minutes")
 
 
 @registered
 def stream_request_stats(spark, root):
     out, checkpoint = _paths(spark, "request-stats")
-    for log in sinks.arrivals(commerce.request_log(spark, root), "requests", "ts"):
-        jobs.stream_request_windows(log, out, checkpoint)
-    return _round(jobs.read_request_windows(spark, out), "avg_latency_ms")
+    log = sinks.staged(commerce.request_log(spark, root), "requests", "ts")
+    jobs.stream_request_windows(log, out, checkpoint)
+    latencies = ("avg_latency_ms", "p50_latency_ms", "p95_latency_ms")
+    return _round(jobs.read_request_windows(spark, out), *latencies)
 
 
 @registered
@@ -990,9 +989,9 @@ def stream_actuals_match(spark, root):
         "order_id", "delivered_at", "delivery_time_minutes"
     )
     out, checkpoint = _paths(spark, "match")
-    made = sinks.arrivals(predictions, "predictions", "prediction_timestamp")
-    for stream, arrived in zip(made, sinks.arrivals(actuals, "actuals", "delivered_at"), strict=True):
-        jobs.stream_actuals_match(stream, arrived, out, checkpoint, hours=1)
+    made = sinks.staged(predictions, "predictions", "prediction_timestamp")
+    arrived = sinks.staged(actuals, "actuals", "delivered_at")
+    jobs.stream_actuals_match(made, arrived, out, checkpoint, hours=1)
     schema = (
         "order_id bigint, model_version string, predicted_delivery_minutes double, "
         "prediction_timestamp timestamp, delivered_at timestamp, delivery_time_minutes double"
@@ -1009,23 +1008,86 @@ def stream_dedup(spark, root):
     copies = F.when(F.col("order_id") % 3 == 0, 2).otherwise(1)
     sent = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
     out, checkpoint = _paths(spark, "dedup")
-    for stream in sinks.arrivals(sent, "sent", "prediction_timestamp"):
-        jobs.stream_dedup(stream, out, checkpoint)
+    jobs.stream_dedup(sinks.staged(sent, "sent", "prediction_timestamp"), out, checkpoint)
     schema = "order_id bigint, model_version string, predicted_delivery_minutes double"
     return _round(spark.read.schema(schema).parquet(out), "predicted_delivery_minutes")
 
 
-@registered
-def stream_monitor(spark, root):
-    log = _errors(spark, root).select(
+def _monitor_log(spark, root) -> DataFrame:
+    return _errors(spark, root).select(
         "model_version", "order_id", "prediction_timestamp",
         F.col("predicted_delivery_minutes").alias("prediction"),
         F.col("actual_delivery_minutes").alias("actual"),
     )
+
+
+@registered
+def stream_monitor(spark, root):
     out, checkpoint = _paths(spark, "monitor")
-    last = 0
-    for stream in sinks.arrivals(log, "log", "prediction_timestamp"):
-        progress = jobs.stream_monitor(stream, out, checkpoint).lastProgress
-        last = progress["batchId"] if progress else last
+    log = sinks.staged(_monitor_log(spark, root), "log", "prediction_timestamp")
+    last = jobs.stream_monitor(log, out, checkpoint).lastProgress["batchId"]
     state = jobs.read_monitor(spark, out, last)
     return _round(jobs.monitor_summary(state), "avg_prediction", "mae", "mean_error")
+
+
+@registered
+def stream_monitor_state(spark, root):
+    """The same monitor with its rows as keyed stream state."""
+    out, checkpoint = _paths(spark, "monitor-state")
+    log = sinks.staged(_monitor_log(spark, root), "log", "prediction_timestamp")
+    keyed_state.stream_newest(log, out, checkpoint)
+    state = keyed_state.read_newest(spark, out)
+    return _round(jobs.monitor_summary(state), "avg_prediction", "mae", "mean_error")
+
+
+@registered
+def order_closures(spark, root):
+    """Orders closed by delivery, cancellation or two days of silence; the newest ones are still open."""
+    events = commerce.lifecycle_events(commerce.orders(spark, root, with_store=False))
+    out, checkpoint = _paths(spark, "closures")
+    keyed_state.stream_order_closures(sinks.staged(events, "events", "event_at"), out, checkpoint)
+    return keyed_state.read_closures(spark, out)
+
+
+LATE_CUTS = ["1996-05-01", "1997-09-01", "1999-01-01", "2000-04-01"]
+
+
+def _late_stream(spark, root) -> tuple[str, str]:
+    """Deliveries of five periods in time order, but those of every 50th order come with the last."""
+    rows = feats.delivered(commerce.orders(spark, root)).select(
+        "order_id", "store_id", "delivered_at", "delivery_time_minutes"
+    )
+    at = F.col("delivered_at")
+    portion = sum(((at >= _ts(cut)).cast("int") for cut in LATE_CUTS), F.lit(0))
+    portion = F.when(F.col("order_id") % 50 == 0, len(LATE_CUTS)).otherwise(portion)
+    out, checkpoint = _paths(spark, "late")
+    stream = sinks.staged_parts(
+        write_through(rows, "delivered"), portion, len(LATE_CUTS) + 1, scratch_dir(spark, "late-in")
+    )
+    jobs.stream_store_days_with_late(stream, out, checkpoint)
+    return out, "order_id bigint, store_id bigint, delivered_at timestamp, delivery_time_minutes double"
+
+
+@registered
+def stream_late_rows(spark, root):
+    """The rows that came behind the watermark, with the watermark they met."""
+    out, schema = _late_stream(spark, root)
+    return late.read_late(spark, out, schema).select(
+        "order_id", "store_id", "delivered_at", F.timestamp_millis("watermark_ms").alias("watermark")
+    )
+
+
+@registered
+def stream_late_ledger(spark, root):
+    out, _ = _late_stream(spark, root)
+    return late.read_ledger(spark, out).select(
+        "batch_id", "rows", "late_rows", F.timestamp_millis("greatest_ms").alias("greatest"),
+        F.timestamp_millis("watermark_ms").alias("watermark"),
+    )
+
+
+@registered
+def stream_days_with_late(spark, root):
+    """Day totals once the late rows are merged in."""
+    out, schema = _late_stream(spark, root)
+    return _round(jobs.read_store_days_with_late(spark, out, schema), "minutes")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from etaforge.functions.buckets import bucket_value, log_bucket
 from etaforge.functions.clock import SECONDS_PER_DAY
 from etaforge.operators.online import by_entity, lookup_entities
 from etaforge.operators.validate import rejected_rows, valid_rows, with_reasons
@@ -19,6 +20,7 @@ from etaforge.plans.scoring import (
 )
 from etaforge.session import write_through
 from etaforge.sources.keyed import path_exists, upsert
+from etaforge.streaming.late import read_late, run_with_late
 from etaforge.streaming.sinks import drain, read_batches, read_latest, run_batches, store_batch
 
 DEFAULT_DELAY = "1 hour"
@@ -179,44 +181,84 @@ def stream_store_days(
     )
 
 
+def stream_store_days_with_late(
+    delivered: DataFrame, path: str, checkpoint: str, delay: str = DEFAULT_DELAY
+) -> StreamingQuery:
+    """Day totals of the rows in time, one partial row per store, day and batch; rows behind the
+    watermark are kept in a side table and counted in the ledger, see `run_with_late`."""
+    return run_with_late(
+        delivered, "delivered_at",
+        lambda rows, batch_id: store_batch(store_days(rows), batch_id, f"{path}/days"), path, checkpoint, delay,
+    )
+
+
+def read_store_days_with_late(spark: SparkSession, path: str, schema: str, merge_late: bool = True) -> DataFrame:
+    """Day totals of all batches, with the late rows merged in or left out."""
+    days = read_batches(spark, f"{path}/days", STORE_DAYS).drop("batch_id")
+    if merge_late:
+        days = days.unionByName(store_days(read_late(spark, path, schema)))
+    return days.groupBy("store_id", "day").agg(F.sum("n").alias("n"), F.sum("minutes").alias("minutes"))
+
+
 def read_store_days(spark: SparkSession, path: str) -> DataFrame:
     return read_latest(spark, path, STORE_DAYS, ["store_id", "day"])
 
 
 # --- request monitoring ----------------------------------------------------------------------
 
-REQUEST_WINDOWS = (
-    "window_start timestamp, total_requests bigint, successful_requests bigint, "
-    "error_requests bigint, avg_latency_ms double"
-)
+REQUEST_BUCKETS = "window_start timestamp, bucket int, n bigint, failed bigint, latency_ms double"
+
 
+def request_buckets(log: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Requests per tumbling window and latency bucket; failed ones have no bucket.
 
-def request_windows(log: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Counts and mean latency of successful requests per tumbling window."""
+    Such counts are a quantile sketch that merges by addition. A window has some hundred buckets
+    however many requests it sees, and its rows are combined map-side.
+    """
     ok = F.col("prediction").isNotNull()
+    bucket = F.when(ok, log_bucket(F.col("latency_ms"))).alias("bucket")
     return (
-        log.groupBy(F.window("ts", width).alias("w"))
+        log.groupBy(F.window("ts", width).alias("w"), bucket)
         .agg(
-            F.count(F.lit(1)).alias("total_requests"),
-            F.count_if(ok).alias("successful_requests"),
-            F.count_if(~ok).alias("error_requests"),
-            F.avg(F.when(ok, F.col("latency_ms"))).alias("avg_latency_ms"),
-        )
-        .select(
-            F.col("w.start").alias("window_start"),
-            "total_requests",
-            "successful_requests",
-            "error_requests",
-            "avg_latency_ms",
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(~ok).alias("failed"),
+            F.sum(F.when(ok, F.col("latency_ms"))).alias("latency_ms"),
         )
+        .select(F.col("w.start").alias("window_start"), "bucket", "n", "failed", "latency_ms")
+    )
+
+
+def request_windows(buckets: DataFrame, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Counts, mean and percentiles of the latencies of successful requests per window.
+
+    A percentile stands for the value at 0-based position floor(n * share) of the sorted
+    latencies and differs from it by 1 % at most.
+    """
+    rising = Window.partitionBy("window_start").orderBy("bucket")
+    until = F.sum(F.when(F.col("bucket").isNotNull(), F.col("n"))).over(rising.rowsBetween(Window.unboundedPreceding, 0))
+    known = F.sum(F.when(F.col("bucket").isNotNull(), F.col("n"))).over(Window.partitionBy("window_start"))
+    placed = buckets.withColumns({"until": until, "known": known})
+    ranks = {f"p{round(share * 100)}": share for share in shares}
+    totals = placed.groupBy("window_start").agg(
+        F.sum("n").alias("total_requests"),
+        F.sum(F.col("n") - F.col("failed")).alias("successful_requests"),
+        F.sum("failed").alias("error_requests"),
+        F.try_divide(F.sum("latency_ms"), F.sum(F.when(F.col("bucket").isNotNull(), F.col("n")))).alias("avg_latency_ms"),
+        *(
+            F.min(F.when(F.col("bucket").isNotNull() & (F.col("until") > F.floor(F.col("known") * F.lit(share))), F.col("bucket"))).alias(name)
+            for name, share in ranks.items()
+        ),
     )
+    return totals.withColumns({f"{name}_latency_ms": bucket_value(F.col(name)) for name in ranks}).drop(*ranks)
 
 
 def stream_request_windows(
     log: DataFrame, path: str, checkpoint: str, delay: str = DEFAULT_DELAY
 ) -> StreamingQuery:
+    """Keep the counts per window and latency bucket as stream state; each batch stores the changed
+    ones."""
     return run_batches(
-        request_windows(log.withWatermark("ts", delay)),
+        request_buckets(log.withWatermark("ts", delay)),
         lambda rows, batch_id: store_batch(rows, batch_id, path),
         checkpoint,
         "update",
@@ -224,7 +266,7 @@ def stream_request_windows(
 
 
 def read_request_windows(spark: SparkSession, path: str) -> DataFrame:
-    return read_latest(spark, path, REQUEST_WINDOWS, ["window_start"])
+    return request_windows(read_latest(spark, path, REQUEST_BUCKETS, ["window_start", "bucket"]))
 
 
 # --- prediction to actual --------------------------------------------------------------------

@@ -63,6 +63,38 @@ def arrivals(df: DataFrame, label: str, event_time: str, portions: int = 5) -> I
         yield spark.readStream.schema(df.schema).parquet(path)
 
 
+def staged(
+    df: DataFrame, label: str, event_time: str, portions: int = 5, files: int = 4, cuts: list | None = None
+) -> DataFrame:
+    """`df` as one file stream that a single query takes in micro-batches of rising event time.
+
+    Each portion is written by a job of its own, as `files` files, and a trigger takes as many, in
+    the order in which they were written. `cuts` gives the first times of all portions but the
+    first; by default they are quantiles. NULL times come first.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    at = F.unix_micros(event_time)
+    if cuts is None:
+        rows = write_through(df, f"{label}-rows")
+        shares = [i / portions for i in range(1, portions)]
+        found = rows.agg(F.percentile_approx(at, shares).alias("cuts")).first()["cuts"] or []
+        bounds = [F.lit(cut + 1) for cut in found]
+    else:
+        rows, bounds = df, [F.unix_micros(F.lit(cut).cast("timestamp")) for cut in cuts]
+    portion = sum((F.coalesce(at >= bound, F.lit(False)).cast("int") for bound in bounds), F.lit(0))
+    return staged_parts(rows, portion, len(bounds) + 1, path, files)
+
+
+def staged_parts(rows: DataFrame, portion, portions: int, path: str, files: int = 4) -> DataFrame:
+    """As `staged`, with the number of the portion given as a column."""
+    for number in range(portions):
+        part = rows.where(portion == number).repartition(files)
+        part.write.mode("append").parquet(path)
+    stream = rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files)
+    return stream.parquet(path)
+
+
 def dropped_late(query: StreamingQuery) -> int:
     """Rows behind the watermark, over the recent progress reports of a query."""
     return sum(

@@ -273,6 +273,15 @@ ONLINE = f"""
 ONLINE_CTES = {"sf": _as_of("store_id", "fx_stores"), "uf": _as_of("customer_id", CUSTOMERS), "online": ONLINE}
 
 
+LIFE = """
+    select order_id, customer_id, total, case when confirmed_at is not null then order_id%50 end
+        as driver_id, created_at as placed_at, confirmed_at as assigned_at,
+      case when delivered_at is not null then confirmed_at+interval 120 second end as picked_up_at,
+      delivered_at, case when confirmed_at is null and order_id%7=0
+        then created_at+interval 900 second end as cancelled_at
+    from fx_orders"""
+
+
 def statements() -> dict[str, str]:
     out: dict[str, str] = {}
     out["scan_orders"] = query("select * from fx_orders")
@@ -649,24 +658,29 @@ def statements() -> dict[str, str]:
           from fx_orders o join fx_stores s on s.store_id=o.store_id
           where s.latitude is not null) c
       left join sf on sf.store_id=c.store_id""", **ONLINE_CTES)
-    out["order_lifecycle"] = query("""
-    select order_id, customer_id, total, case when confirmed_at is not null then order_id%50 end
-        as driver_id, created_at as placed_at, confirmed_at as assigned_at,
-      case when delivered_at is not null then confirmed_at+interval 120 second end as picked_up_at,
-      delivered_at, case when confirmed_at is null and order_id%7=0
-        then created_at+interval 900 second end as cancelled_at
-    from fx_orders""")
+    out["order_lifecycle"] = query(LIFE)
     out["stream_store_metrics"] = query("""
     select store_id, window_start, cast(sum(n) as bigint) as n, round(sum(m)/sum(n),6) as avg_minutes
     from (select store_id, day - to_days(b::int) as window_start, n, m
           from (select store_id, date_trunc('day', delivered_at)::timestamp as day, count(*) as n,
                   sum(minutes) as m from hist group by 1,2) d, range(0,30) r(b))
     group by all""")
-    out["stream_request_stats"] = query("""
-    select date_trunc('hour', ts) as window_start, count(*) as total_requests,
-      count(prediction) as successful_requests, count(error) as error_requests,
-      round(avg(latency_ms) filter (prediction is not null),6) as avg_latency_ms
-    from reqlog group by 1""")
+    growth = "(1.01e0/0.99e0)"
+    ranked = """
+    select date_trunc('hour', ts) as w, latency_ms as v,
+      row_number() over (partition by date_trunc('hour', ts) order by latency_ms) - 1 as i,
+      count(*) over (partition by date_trunc('hour', ts)) as n
+    from reqlog where prediction is not null"""
+    shares = ", ".join(
+        f"max(case when i = floor(n*{q}e0) then round(pow({growth}, ceil(ln(v)/ln{growth}))*2/({growth}+1), 6) end) as p{p}_latency_ms"
+        for p, q in ((50, 0.5), (95, 0.95)))
+    out["stream_request_stats"] = query(f"""
+    select r.*, p50_latency_ms, p95_latency_ms from (
+      select date_trunc('hour', ts) as window_start, count(*) as total_requests,
+        count(prediction) as successful_requests, count(error) as error_requests,
+        round(avg(latency_ms) filter (prediction is not null),6) as avg_latency_ms
+      from reqlog group by 1) r
+    left join (select w, {shares} from latency_ranks group by w) on w = window_start""", latency_ranks=ranked)
     out["stream_actuals_match"] = query("""
     select order_id, model_version, round(predicted_delivery_minutes,6)
       as predicted_delivery_minutes, created_at as prediction_timestamp, delivered_at,
@@ -675,11 +689,41 @@ def statements() -> dict[str, str]:
     out["stream_dedup"] = query("""
     select order_id, model_version, round(predicted_delivery_minutes,6)
       as predicted_delivery_minutes from preds""")
-    out["stream_monitor"] = query("""
+    out["stream_monitor"] = out["stream_monitor_state"] = query("""
     select model_version, count(*) as n, round(avg(predicted_delivery_minutes),6)
       as avg_prediction, count(*) as n_actuals, round(avg(absolute_error),6) as mae,
       round(avg(error),6) as mean_error
     from (select *, row_number() over (partition by model_version
             order by created_at desc, order_id desc) as i from errs)
     where i <= 1000 group by model_version""")
+    # Closures: a timer goes off once the final watermark, an hour behind the last event, is beyond it.
+    out["order_closures"] = query("""
+    select * exclude (due) from (
+      select order_id, customer_id, total, driver_id, placed_at, assigned_at, picked_up_at, delivered_at,
+        cancelled_at,
+        case when delivered_at is not null then 'delivered' when cancelled_at is not null
+          then 'cancelled' else 'abandoned' end as outcome,
+        coalesce(delivered_at, cancelled_at, greatest(placed_at, assigned_at) + interval 48 hour) as closed_at,
+        case when coalesce(delivered_at, cancelled_at) is null then closed_at
+          else closed_at + interval 1 hour end as due
+      from life) where due < (select max(greatest(placed_at, assigned_at, picked_up_at, delivered_at,
+        cancelled_at)) - interval 1 hour from life)""", life=LIFE)
+    arrived = """
+    select *, case when order_id%50=0 then 4 else (delivered_at >= timestamp '1996-05-01')::int
+      + (delivered_at >= timestamp '1997-09-01')::int + (delivered_at >= timestamp '1999-01-01')::int
+      + (delivered_at >= timestamp '2000-04-01')::int end as batch_id from hist"""
+    ledger = """
+    select b.batch_id, (select max(delivered_at) from arrived p where p.batch_id < b.batch_id - 1) - interval 1 hour
+      as watermark from (select distinct batch_id from arrived) b"""
+    lates = {"arrived": arrived, "marks": ledger}
+    out["stream_late_rows"] = query("""
+    select order_id, store_id, delivered_at, watermark from arrived join marks using (batch_id)
+    where delivered_at <= watermark""", **lates)
+    out["stream_late_ledger"] = query("""
+    select batch_id::bigint as batch_id, count(*) as rows, count(*) filter (delivered_at <= watermark) as late_rows,
+      max(delivered_at) as greatest, any_value(watermark) as watermark
+    from arrived join marks using (batch_id) group by batch_id""", **lates)
+    out["stream_days_with_late"] = query("""
+    select store_id, date_trunc('day', delivered_at)::timestamp as day, count(*) as n,
+      round(sum(minutes), 6) as minutes from hist group by 1, 2""")
     return out
