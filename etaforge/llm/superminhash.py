@@ -14,8 +14,6 @@ from .common import UPPER, WORD, map_texts, mix, partitions, shingle_hashes
 
 #: Two sets of similarity 0.85 miss all 24 bands of 5 ranks with probability 8e-7.
 BANDS, ROWS = 24, 5
-#: Buckets up to this size emit their pairs at once; larger ones go through `hot_pairs`.
-SMALL = 16
 
 
 def superminhash(elements: np.ndarray, m: int = BANDS * ROWS) -> np.ndarray:
@@ -77,16 +75,26 @@ def _alike(a: bytes, b: bytes) -> int:
     return int((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).sum())
 
 
-def _sketch_filter(pairs: DataFrame) -> DataFrame:
-    """Drop pairs whose registers agree in under half the places (at 0.85: a chance under 1e-20)."""
+def sketch_floor(least: int, m: int = BANDS * ROWS) -> int:
+    """Places in which the sketches of two sets of similarity `least` percent agree at the least: six
+    deviations below the mean, taken as those of plain MinHash, which are larger."""
+    j = least / 100
+    return int(m * j - 6 * (m * j * (1 - j)) ** 0.5)
+
+
+def _sketch_filter(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """Distinct pairs (a, b) less those whose sketches agree in fewer places than `sketch_floor`.
+
+    Sketches are looked up here, once per distinct pair, and carried nowhere else."""
+    floor = sketch_floor(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)
-            keep = pa.array([_alike(x, y) * 2 >= BANDS * ROWS for x, y in rows], pa.bool_())
-            yield b.select(["a", "b"]).filter(keep)
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("sa", "sb"))
+            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= floor))
 
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    sa, sb = sketches.toDF("a", "sa"), sketches.toDF("b", "sb")
+    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
@@ -167,12 +175,11 @@ def near_components(docs: DataFrame, least: int = 85, key: str = "doc_id", text:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Equal sets are linked first, through the smallest id that has the set; the representatives
-    are then banded. A small bucket gives its pairs. In a large one every member is compared with
-    the bucket's smallest id, and after grouping only pairs of members in different components
-    are left; they are all compared, so no link between different texts is lost and a group of near copies
-    costs a comparison per member. Null and wordless texts have no links, a null id stays null
-    and is linked with nothing. Repeated rows of one id share the id's component. An empty table
-    gives no rows.
+    are then banded. Every member of a bucket is compared with the bucket's smallest id: a
+    comparison per member, whatever the bucket's size. Buckets that then still hold members of
+    different components go through `rest_pairs`, which leaves out no pair that can be a link. Null
+    and wordless texts have no links, a null id stays null and is linked with nothing. Repeated
+    rows of one id share the id's component. An empty table gives no rows.
     """
     slim = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     described = map_texts(slim, _describe, ("id",), "n_shingles bigint, key string, bands array<bigint>, sketch binary")
@@ -183,30 +190,22 @@ def near_components(docs: DataFrame, least: int = 85, key: str = "doc_id", text:
         .select("key", F.col("rep").alias("id"), "v.*"),
         "representatives",
     )
-    # One row per band and set; buckets of one row are gone before anything is joined.
-    slots = reps.select("id", "n_shingles", "sketch", F.posexplode("bands").alias("band", "value"))
-    sizes = slots.groupBy("band", "value").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "n_shingles", "sketch"), "id").alias("head"))
-    sizes = write_through(sizes.where("n > 1"), "buckets")
-    members = write_through(slots.join(sizes, ["band", "value"]), "members")
-    fits = "least(n_shingles, m_shingles) * 100 >= greatest(n_shingles, m_shingles) * " + str(least)
-    star = members.where("n > " + str(SMALL)).where("id <> head.id").select(
-        F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.sketch").alias("sa"), F.col("sketch").alias("sb"),
-        "n_shingles", F.col("head.n_shingles").alias("m_shingles"),
-    ).where(fits)
-    few = members.where("n <= " + str(SMALL))
-    left = few.select("band", "value", F.col("id").alias("a"), F.col("sketch").alias("sa"), "n_shingles")
-    right = few.select("band", "value", F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("m_shingles"))
-    pairs = left.join(right, ["band", "value"]).where("a < b").where(fits)
-    cols = ["a", "b", "sa", "sb"]
-    first = write_through(_sketch_filter(pairs.select(*cols).union(star.select(*cols)).repartition(partitions(docs.sparkSession), "a", "b")), "pairs")
-    links = write_through(verify(first, slim.where("id is not null"), least), "links")
+    texts, sketches = slim.where("id is not null"), reps.select("id", "sketch")
+    # A slot is a band and its value (values of different bands are hashed apart). Slots of one row
+    # are gone before anything is joined.
+    slots = reps.select("id", "n_shingles", F.explode("bands").alias("slot"))
+    heads = slots.groupBy("slot").agg(F.min(F.struct("id", "n_shingles")).alias("head"), F.count("*").alias("n"))
+    members = write_through(slots.join(heads.where("n > 1"), "slot"), "members")
+    star = members.where("id <> head.id").select(
+        F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n_shingles").alias("m"), F.col("n_shingles").alias("n")
+    )
+    star = write_through(star.where(_fits("m", "n", least)).select("a", "b").distinct(), "star-pairs")
+    links = write_through(verify(write_through(_sketch_filter(star, sketches, least), "near-pairs"), texts, least), "links")
     equal = usable.join(reps.select("key", F.col("id").alias("a")), "key").where("id <> a").select("a", F.col("id").alias("b"))
     same = write_through(equal, "equal-links")
-    labels = components(links)
-    rest = write_through(hot_pairs(members, labels, fits), "rest-pairs")
-    if not rest.isEmpty():
-        links = links.union(verify(rest, slim.where("id is not null"), least))
-    labels = components(links.union(same))
+    rest = rest_pairs(members, components(links), star, texts, least)
+    rest = write_through(_sketch_filter(rest, sketches, least), "rest-pairs")
+    labels = components(links.union(verify(rest, texts, least)).union(same))
     return described.join(labels, "id", "left").select(
         F.col("id").alias("doc_id"),
         "n_shingles",
@@ -215,19 +214,40 @@ def near_components(docs: DataFrame, least: int = 85, key: str = "doc_id", text:
     )
 
 
-def hot_pairs(members: DataFrame, labels: DataFrame, fits: str) -> DataFrame:
-    """Pairs of large buckets that lie in different components, less those the sketches rule out.
+def _fits(n: str, m: str, least: int):
+    """Sets of such sizes can be as similar as `least` percent."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * least
+
+
+def rest_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """Distinct pairs that may be links, among the sets of buckets which hold several components.
 
-    Of each bucket, members outside its largest component meet all others; members of the largest one only
-    meet the outsiders, so copies of one text are never paired with each other.
+    Two sets of n and more shingles that are `least` percent alike share one of the n -
+    ceil(least * n) + 1 shingles that come first in any common order. The order here is rarest
+    first, as counted over these sets: an edited copy of a common text begins with shingles of its
+    own, which nobody shares, so it meets few others or none, while a pair within one large bucket
+    would meet all. Pairs of one component and pairs already `tested` are left out; of the members
+    that share a shingle, those outside its largest component meet all others, so copies of one
+    text never meet each other.
     """
-    large = members.where("n > " + str(SMALL)).select("band", "value", "id", "n_shingles", "sketch")
-    large = write_through(large.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "hot-members")
-    per = large.groupBy("band", "value", "label").agg(F.count("*").alias("c"))
-    main = per.groupBy("band", "value").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    large = large.join(main, ["band", "value"])
-    out = large.where("label <> main").select("band", "value", F.col("id").alias("o"), F.col("sketch").alias("sa"), "n_shingles", F.col("label").alias("lo"))
-    every = large.select("band", "value", F.col("id").alias("e"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("m_shingles"), "label", "main")
-    met = every.join(out, ["band", "value"]).where("label <> lo and (label = main or o < e)").where(fits)
-    pairs = met.select(F.least("o", "e").alias("a"), F.greatest("o", "e").alias("b"), F.when(F.col("o") < F.col("e"), F.col("sa")).otherwise(F.col("sb")).alias("sa"), F.when(F.col("o") < F.col("e"), F.col("sb")).otherwise(F.col("sa")).alias("sb"))
-    return _sketch_filter(pairs)
+    placed = members.where("n > 2").join(labels, "id", "left").select("slot", "id", F.coalesce("label", "id").alias("label"))
+    mixed = placed.groupBy("slot").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("slot")
+    asked = write_through(placed.join(mixed, "slot", "left_semi").select("id", "label").distinct(), "rest-members")
+    sets = map_texts(texts.join(asked.select("id"), "id"), _sets, ("id",), "s array<bigint>")
+    # Rows of one id may have different texts, so a set is told by its id and its hash.
+    sets = sets.withColumn("v", F.xxhash64("s")).dropDuplicates(["id", "v"])
+    every = write_through(sets.select("id", "v", F.size("s").alias("size"), F.explode("s").alias("h")), "rest-shingles")
+    often = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    # Places are counted among all of a set's shingles; those that nobody shares come first.
+    shared = every.join(often, "h").groupBy("id", "v", "size").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    prefix = F.col("size") - F.ceil(F.col("size") * least / 100) + 1 - (F.col("size") - F.size("s"))
+    tokens = shared.where(prefix > 0).select("id", "size", F.explode(F.slice("s", F.lit(1), prefix.cast("int"))).alias("t"))
+    tokens = tokens.select("id", "size", F.col("t.h").alias("h")).join(asked, "id")
+    tokens = write_through(tokens, "rest-tokens")
+    per = tokens.groupBy("h", "label").agg(F.count("*").alias("c"))
+    main = per.groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
+    tokens = tokens.join(main.where("labels > 1").drop("labels"), "h")
+    out = tokens.where("label <> main").select("h", F.col("id").alias("o"), F.col("label").alias("lo"), F.col("size").alias("m"))
+    met = tokens.join(out, "h").where("label <> lo and (label = main or o < id)").where(_fits("size", "m", least))
+    pairs = met.select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
+    return pairs.join(tested, ["a", "b"], "left_anti")
