@@ -225,8 +225,9 @@ def rest_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, texts:
     Two sets of n and more shingles that are `least` percent alike share one of the n -
     ceil(least * n) + 1 shingles that come first in any common order. The order here is rarest
     first, as counted over these sets: an edited copy of a common text begins with shingles of its
-    own, which nobody shares, so it meets few others or none, while a pair within one large bucket
-    would meet all. Pairs of one component and pairs already `tested` are left out; of the members
+    own, which few share, so it meets few others or none, while in a bucket it would meet all. The
+    places of the shingle at which a pair meets bound its likeness, and most pairs that meet all the
+    same end there. Pairs of one component and pairs already `tested` are left out; of the members
     that share a shingle, those outside its largest component meet all others, so copies of one
     text never meet each other.
     """
@@ -240,14 +241,21 @@ def rest_pairs(members: DataFrame, labels: DataFrame, tested: DataFrame, texts:
     often = every.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # Places are counted among all of a set's shingles; those that nobody shares come first.
     shared = every.join(often, "h").groupBy("id", "v", "size").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    prefix = F.col("size") - F.ceil(F.col("size") * least / 100) + 1 - (F.col("size") - F.size("s"))
-    tokens = shared.where(prefix > 0).select("id", "size", F.explode(F.slice("s", F.lit(1), prefix.cast("int"))).alias("t"))
-    tokens = tokens.select("id", "size", F.col("t.h").alias("h")).join(asked, "id")
+    alone = F.col("size") - F.size("s")
+    prefix = F.col("size") - F.ceil(F.col("size") * least / 100) + 1 - alone
+    tokens = shared.where(prefix > 0).select("id", "size", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), prefix.cast("int"))).alias("at", "t"))
+    tokens = tokens.select("id", "size", (F.col("alone") + F.col("at")).alias("at"), F.col("t.h").alias("h")).join(asked, "id")
     tokens = write_through(tokens, "rest-tokens")
     per = tokens.groupBy("h", "label").agg(F.count("*").alias("c"))
     main = per.groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
     tokens = tokens.join(main.where("labels > 1").drop("labels"), "h")
-    out = tokens.where("label <> main").select("h", F.col("id").alias("o"), F.col("label").alias("lo"), F.col("size").alias("m"))
-    met = tokens.join(out, "h").where("label <> lo and (label = main or o < id)").where(_fits("size", "m", least))
+    out = tokens.where("label <> main").select(
+        "h", F.col("id").alias("o"), F.col("label").alias("lo"), F.col("size").alias("o_size"), F.col("at").alias("o_at")
+    )
+    # If a pair's first common shingle stands at such places, nothing before them is in the intersection;
+    # later common ones may fail this test, as the pair is found at the first.
+    most = F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at"))
+    fits = most * 100 >= (F.col("size") + F.col("o_size") - most) * least
+    met = tokens.join(out, "h").where("label <> lo and (label = main or o < id)").where(fits)
     pairs = met.select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
