@@ -28,7 +28,7 @@ from etaforge.operators.registry import (
     feature_freshness,
 )
 from etaforge.plans import features as feats
-from etaforge.plans import materialize, model, scoring
+from etaforge.plans import materialize, model, scoring, tiles
 from etaforge.session import pin_utc, scratch_dir, write_through
 from etaforge.sources import commerce, history, keyed, profile
 from etaforge.streaming import jobs, late, sinks
@@ -552,10 +552,44 @@ def feature_freshness_query(spark, root):
     }
     out = feature_freshness(default_registry, spark, snapshots, "2000-06-01 12:00:00")
     return out.select(
-        "feature_name", "freshness", "last_computed_at", "row_count", "age_seconds", "status"
+        "feature_name", "version", "definition_hash", "freshness", "last_computed_at", "row_count",
+        "age_seconds", "status",
     )
 
 
+def _tile_snapshots(spark, root, key) -> DataFrame:
+    """Two snapshots in a row: tiles of the first one's month, then a refresh of one day, and a second
+    snapshot at half past six of the day after."""
+    past, path = _stored_history(spark, root), scratch_dir(spark, "tiles")
+    tiles.refresh_tiles(past, key, "2000-05-01", "2000-05-31", path, HISTORY_PERIOD)
+    found = tiles.read_tiles(spark, path, key)
+    first = write_through(tiles.snapshot_from_tiles(found, past, key, AS_OF, 30, HISTORY_PERIOD), "snapshot")
+    tiles.refresh_tiles(past, key, "2000-06-01", "2000-06-01", path, HISTORY_PERIOD)
+    found = tiles.read_tiles(spark, path, key)
+    second = tiles.snapshot_from_tiles(found, past, key, "2000-06-02 06:30:00", 30, HISTORY_PERIOD)
+    return _round(first.unionByName(second), "avg_delivery_minutes")
+
+
+@registered
+def store_features_from_tiles(spark, root):
+    return _tile_snapshots(spark, root, "store_id")
+
+
+@registered
+def customer_features_from_tiles(spark, root):
+    return _tile_snapshots(spark, root, "customer_id")
+
+
+@registered
+def active_entities(spark, root):
+    """Stores and customers with deliveries before three days, from merged day sketches. The test
+    data are few enough for a sketch to be exact."""
+    past, path = _stored_history(spark, root), scratch_dir(spark, "activity")
+    tiles.refresh_activity(past, "2000-04-01", "2000-06-30", path, HISTORY_PERIOD)
+    ends = ["2000-05-15", "2000-06-01", "2000-06-15"]
+    return tiles.active_entities(tiles.read_activity(spark, path), ends, (1, 7, 30))
+
+
 # --- scoring, predictions, accuracy ----------------------------------------------------------
 
 
@@ -899,6 +933,28 @@ def gbt_train_eval(spark, root):
     return accuracy.regression_metrics(scored, model.LABEL, "predicted_delivery_minutes")
 
 
+@registered
+def gbt_eval_curve(spark, root):
+    """Error on the held-out split after each of the 100 rounds."""
+    rows = model.with_split(_training_set(spark, root))
+    fitted = model.fit(rows.where(~F.col("is_test")))
+    return model.evaluation_curve(fitted, rows.where("is_test"))
+
+
+@registered
+def batch_score_gbt(spark, root):
+    """Confirmed orders scored by the boosted trees and stored; the rows come from the table."""
+    fitted = model.fit(_training_set(spark, root))
+    predictions, _ = scoring.score_batch(
+        commerce.tables(spark, root), model.scorer(fitted, "gbt-1"), created_at=_ts("2024-01-01 00:00:00"),
+        period=PERIOD, history=_stored_history(spark, root), history_period=HISTORY_PERIOD,
+    )
+    path = scratch_dir(spark, "predictions")
+    keyed.upsert(predictions, path)
+    stored = spark.read.schema(predictions.schema).parquet(path)
+    return stored.select("order_id", "store_id", "prediction_timestamp", "predicted_delivery_minutes", "model_version")
+
+
 @registered
 def gbt_scores(spark, root):
     rows = _training_set(spark, root)

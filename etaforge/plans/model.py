@@ -35,12 +35,21 @@ def with_time_split(df: DataFrame, at: str, column: str = "created_at") -> DataF
     return df.withColumn("is_test", F.col(column) >= F.lit(at).cast("timestamp"))
 
 
-def fit(train: DataFrame, features: list[str] = TRAINING_FEATURES, **params) -> PipelineModel:
-    """Fit on rows with a label; missing features are -1. `params` go to the regressor."""
+def fit(
+    train: DataFrame, features: list[str] = TRAINING_FEATURES, validation: str | None = None, **params
+) -> PipelineModel:
+    """Fit on rows with a label; missing features are -1. `params` go to the regressor.
+
+    `validation` names a boolean column: boosting then goes on, up to `maxIter` rounds, only while
+    the error of those rows falls by more than `validationTol`, and they are not fitted.
+    """
     spark = train.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:  # where boosting cuts its lineage
         spark.sparkContext.setCheckpointDir(shared_root(spark))
-    ready = model_inputs(train.where(F.col(LABEL).isNotNull()), features).select(*features, LABEL)
+    flag = [validation] if validation else []
+    ready = model_inputs(train.where(F.col(LABEL).isNotNull()), features).select(*features, LABEL, *flag)
+    if validation:
+        params["validationIndicatorCol"] = validation
     stages = [
         VectorAssembler(inputCols=features, outputCol="features"),
         GBTRegressor(featuresCol="features", labelCol=LABEL, **{**DEFAULTS, **params}),
@@ -58,6 +67,26 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str] = TRAINING_
     )
 
 
+def evaluation_curve(model: PipelineModel, rows: DataFrame, features: list[str] = TRAINING_FEATURES) -> DataFrame:
+    """Squared error and its root on `rows` after each boosting round; a row per round, one pass each
+    over the assembled rows, which are stored first."""
+    spark = rows.sparkSession
+    known = model_inputs(rows.where(F.col(LABEL).isNotNull()), features).select(*features, LABEL)
+    ready = write_through(model.stages[0].transform(known).select("features", LABEL), "evaluation")
+    errors = model.stages[-1].evaluateEachIteration(ready, "squared")
+    curve = [(i, float(e), float(e) ** 0.5) for i, e in enumerate(errors, 1)]
+    return spark.createDataFrame(curve, "round int, mse double, rmse double")
+
+
+def scorer(model: PipelineModel, version: str, features: list[str] = TRAINING_FEATURES):
+    """The model as a `score` function of batch and stream scoring."""
+
+    def score(rows: DataFrame) -> DataFrame:
+        return predict(model, rows, features).withColumn("model_version", F.lit(version))
+
+    return score
+
+
 def feature_importance(
     spark: SparkSession, model: PipelineModel, features: list[str] = TRAINING_FEATURES
 ) -> DataFrame:

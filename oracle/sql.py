@@ -461,6 +461,20 @@ def statements() -> dict[str, str]:
     select count(distinct store_id) as entities from hist where store_id is not null
       and delivered_at < timestamp '2000-06-01 00:00:00'
       and delivered_at >= timestamp '2000-06-01 00:00:00' - interval 30 day""")
+    for key, name in (("store_id", "store"), ("customer_id", "customer")):
+        out[f"{name}_features_from_tiles"] = query(" union all ".join(f"""
+    select {key}, round(avg(minutes),6) as avg_delivery_minutes, count(*) as order_count,
+      timestamp '{at}' as computed_at, 30 as window_days
+    from hist where {key} is not null and delivered_at < timestamp '{at}'
+      and delivered_at >= timestamp '{at}' - interval 30 day
+    group by {key}""" for at in ("2000-06-01 00:00:00", "2000-06-02 06:30:00")))
+    out["active_entities"] = query("""
+    select e.d as as_of_day, w.days as window_days, count(distinct store_id) as stores,
+      count(distinct customer_id) as customers
+    from (values (date '2000-05-15'), (date '2000-06-01'), (date '2000-06-15')) e(d),
+      (values (1), (7), (30)) w(days), hist
+    where delivered_at < e.d and delivered_at >= e.d - to_days(w.days)
+    group by all""")
     out["online_snapshot"] = query("""
     select entity_type, entity_id, feature_name, round(value,6) as value,
       timestamp '2000-06-01 00:00:00' as updated_at, timestamp '2000-06-02 00:00:00' as expires_at
@@ -482,7 +496,12 @@ def statements() -> dict[str, str]:
     from cf c left join sf on sf.store_id=c.store_id
       left join uf on uf.customer_id=c.customer_id""", **ONLINE_CTES)
     out["feature_freshness"] = query("""
-    select name as feature_name, freshness,
+    select name as feature_name, 1 as version,
+      sha256('{"entity":"' || entity || '","aggregation":"'
+        || case when name like '%avg%' then 'mean' when name like '%count%' then 'count' else 'none' end || '"'
+        || case when name like '%30d' then ',"window_days":30' when name like '%7d' then ',"window_days":7' else '' end
+        || ',"dtype":"' || case when name like '%count%' or name in ('hour_of_day','day_of_week') then 'int'
+             when name = 'is_weekend' then 'bool' else 'float' end || '"}') as definition_hash, freshness,
       case when entity='restaurant' then timestamp '2000-06-01 00:00:00'
            when entity='customer' then timestamp '2000-05-30 00:00:00' end as last_computed_at,
       case when entity='restaurant' then (select count(distinct store_id) from hist
