@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir, write_through
 from .common import partitions, ship
 
-# A record is: length (uint64), masked crc of the length (uint32), ids (uint32 each), masked crc of
-# the ids (uint32); all little-endian. An index entry is: doc_id (int64), 1 if doc_id is null
+# A record is: length (uint64), masked crc of the length (uint32), payload, masked crc of the
+# payload (uint32); all little-endian. A payload is the bytes an id takes (uint8: 2 for vocabularies
+# of up to 65,536 ids, else 4) and the ids. An index entry is: doc_id (int64), 1 if doc_id is null
 # (uint32), offset and length of the record (uint64 each).
 HEAD, TAIL, ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qIQQ")
 ENTRY_SIZE = ENTRY.size
@@ -72,6 +73,14 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # A token's string has a sign per byte; an added token's string is its text.
+        added = {i: t.content for i, t in self.tok.get_added_tokens_decoder().items()}
+        words = {i: w for w, i in self.tok.get_vocab(with_added_tokens=True).items()}
+        self.width = 2 if max(words, default=0) < 1 << 16 else 4
+        self.sizes = np.zeros(max(words, default=0) + 1, np.int64)
+        for i, w in words.items():
+            self.sizes[i] = len(added[i].encode()) if i in added else len(w)
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -80,18 +89,48 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *(f" {x}" for x in rest)]
 
+    def learn(self, new: list[str]) -> None:
+        """Ids of new pieces. Those that begin with a space follow each other in a few long texts, as
+        pieces of one text do, and the ids are dealt back by their bytes; a call each is far slower."""
+        for group in (new[at : at + 5_000] for at in range(0, len(new), 5_000)):
+            spaced = [p for p in group if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
+            alone = list(set(group).difference(spaced))
+            texts = [*alone, "".join(spaced)]
+            found = [np.array(e.ids, np.int64) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            for p, ids in zip(alone, found, strict=False):
+                self.cache[p] = self.packed(ids)
+            ids, packed = found[-1], self.packed(found[-1])
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in spaced])
+            at = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
+            lo = 0
+            for p, hi in zip(spaced, (at * self.width).tolist(), strict=True):
+                self.cache[p] = packed[lo:hi]
+                lo = hi
+
+    def packed(self, ids) -> bytes:
+        return np.asarray(ids).astype(f"<u{self.width}").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text, `width` bytes an id."""
         cut = [self.pieces(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list({p for ps in cut for p in ps} - self.cache.keys())
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[p] = np.array(e.ids, "<u4").tobytes()
+        if len(self.cache) > CACHE_WORDS:  # the last two generations are kept, so frequent pieces stay
+            self.older, self.cache = self.cache, {}
+        known, older, new = self.cache, self.older, []
+        for p in set().union(*cut):
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    new.append(p)
+        self.learn(new)
         return [b"".join(map(self.cache.__getitem__, ps)) for ps in cut]
 
 
+def ids_of(payload: bytes) -> np.ndarray:
+    """Ids of a record's payload as little-endian unsigned 32-bit integers."""
+    return np.frombuffer(payload, f"<u{payload[0]}", offset=1).astype("<u4")
+
+
 def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         import os
@@ -101,6 +140,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def qualified(spark, folder: str) -> str:
+    """The folder with the scheme of the file system that Spark itself would use for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return uri.replace("file:/", "file:///", 1) if re.match(r"file:/[^/]", uri) else uri
+
+
 def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
     """Encode texts, append end_id to each, and write record and index files in ascending doc_id order.
 
@@ -113,12 +159,13 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str
     """
     spark = docs.sparkSession
     ship(spark)
-    folder = folder or scratch_dir(spark, "records")
+    folder = qualified(spark, folder or scratch_dir(spark, "records"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        ctx, enc, end = TaskContext.get(), encoder(tokenizer), struct.pack("<I", end_id)
+        ctx, enc = TaskContext.get(), encoder(tokenizer)
+        width, end = bytes([enc.width]), enc.packed([end_id])
         part = ctx.partitionId()
         name = f"part-{part:06d}-{ctx.taskAttemptId()}"
         n = ids = at = 0
@@ -131,10 +178,10 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str
                     index = fs.open_output_stream(f"{base}/{name}.idx")
                 texts = ["" if t is None else t for t in some["text"]]
                 for key, none, got in zip(some["id"], some["none"], enc.encode(texts), strict=True):
-                    record = frame(got + end)
+                    record = frame(width + got + end)
                     data.write(record)
                     index.write(pack_entry(key, none, at, len(record)))
-                    n, ids, at = n + 1, ids + len(got) // 4 + 1, at + len(record)
+                    n, ids, at = n + 1, ids + len(got) // enc.width + 1, at + len(record)
         if data is not None:
             data.close()
             index.close()
@@ -146,16 +193,17 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str
             F.when(F.col("doc_id").isNull(), 1).otherwise(0).alias("none"),
             "text",
         )
-        .repartitionByRange(partitions(spark), F.col("none").desc(), "id")
-        .sortWithinPartitions(F.col("none").desc(), "id")
+        .withColumn("tie", F.xxhash64("text"))  # rows without an id, or of one id, may be many
+        .repartitionByRange(partitions(spark), F.col("none").desc(), "id", "tie")
+        .sortWithinPartitions(F.col("none").desc(), "id", "tie")
+        .drop("tie")
         .mapInPandas(write, "part int, data string, idx string, n long, ids long"),
         "record-files",
     )
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    uri = folder if "://" in folder else f"file://{folder}"
     return files.select(
         "*",
-        F.lit(uri).alias("folder"),
+        F.lit(folder).alias("folder"),
         F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("ids_before"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
     )
@@ -179,9 +227,9 @@ def read_records(files: DataFrame) -> DataFrame:
                         key, none, offset, length = unpack_entry(index.read(ENTRY_SIZE))
                         if offset != at:
                             raise ValueError(f"index of {f.data} does not fit")
-                        payload = unframe(data.read(length))
-                        n = len(payload) // 4
-                        out.append((None if none else key, number, start, n, zlib.crc32(payload)))
+                        got = ids_of(unframe(data.read(length)))
+                        n = len(got)
+                        out.append((None if none else key, number, start, n, zlib.crc32(got)))
                         start, at, number = start + n, at + length, number + 1
                         if len(out) >= 5_000:
                             yield _rows(out)
@@ -204,7 +252,7 @@ def read_at(files: DataFrame, records: DataFrame) -> DataFrame:
                 fs, _ = pafs.FileSystem.from_uri(f.folder)
                 with fs.open_input_file(f.idx) as index, fs.open_input_file(f.data) as data:
                     _, _, offset, length = unpack_entry(index.read_at(ENTRY_SIZE, (f.record - f.n_before) * ENTRY_SIZE))
-                    out.append((f.record, np.frombuffer(unframe(data.read_at(length, offset)), "<u4").astype(np.int64).tolist()))
+                    out.append((f.record, ids_of(unframe(data.read_at(length, offset))).tolist()))
             yield pd.DataFrame(out, columns=["record", "ids"])
 
     span = (F.col("record") >= F.col("n_before")) & (F.col("record") < F.col("n_before") + F.col("n"))
