@@ -20,6 +20,7 @@ def test_every_statement_has_a_query():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {
         "gbt_train_eval", "gbt_scores", "feature_importance", "training_run", "model_registry",
+        "gbt_eval_curve", "batch_score_gbt",
     }
 
 
@@ -42,7 +43,7 @@ def test_model_queries_train_with_the_default_settings(spark, monkeypatch):
     monkeypatch.setattr(model, "GBTRegressor", noted)
     for name in sorted(set(QUERIES) - set(SQL)):
         QUERIES[name](spark, ROOT).count()
-    assert settings == [{"maxIter": 100, "maxDepth": 6, "stepSize": 0.1}] * 6
+    assert settings == [{"maxIter": 100, "maxDepth": 6, "stepSize": 0.1}] * 8
 
 
 def test_entry(spark):
