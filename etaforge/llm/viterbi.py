@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,11 @@ from .common import map_texts
 
 SPACE = "▁"
 CACHE_WORDS = 300_000
+#: Signs of the runs that a worker remembers, all together, and signs that a decoder takes at a time.
+MEMO_SIGNS, CHUNK = 8_000_000, 1 << 16
+#: Scores are whole numbers of this part of 1: sums are exact, so equal ones stay equal wherever ids are committed.
+SCORE_UNIT = 1 << 32
+LEAST, NOTHING = -math.inf, ({}, None, ())
 _MODELS: dict = {}
 
 
@@ -28,25 +34,35 @@ class Pieces:
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes: dict[int, int] = {}
-        self.text: dict[int, str] = {}
         rank = 0
-        self.ids: dict[str, tuple[float, int]] = {}
+        self.ids: dict[str, tuple[int, int]] = {}
+        self.raw: dict[int, bytes] = {}
         for i in range(m.get_piece_size()):
             p = m.id_to_piece(i)
             if m.is_byte(i):
                 self.bytes[int(p[3:5], 16)] = i
+                self.raw[i] = bytes([int(p[3:5], 16)])
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
-                self.ids[p] = (-math.log(rank + 2), i)
-                self.text[i] = p
+                self.ids[p] = (round(-math.log(rank + 2) * SCORE_UNIT), i)
+                self.raw[i] = p.encode("utf-8")
                 rank += 1
         self.longest = max(map(len, self.ids), default=1)
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.byte_score = -math.log(rank + 2) - 10.0
-        # True if no piece has another sign before a space sign: then paths meet before each word.
-        self.words_meet = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.cache: dict[str, list[int]] = {}
-
-    def edges(self, signs: str, end: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
+        self.byte_score = round((-math.log(rank + 2) - 10.0) * SCORE_UNIT)
+        # By next sign: the longer prefixes of pieces from there, and score and ids of the piece that ends there, if any.
+        self.trie: dict = {}
+        for p, (score, i) in self.ids.items():
+            longer = self.trie
+            for c in p:
+                node = longer.setdefault(c, [{}, None, ()])
+                longer = node[0]
+            node[1:] = [score, (i,)]
+        # Unless a piece goes on over a space sign behind another sign, all paths meet before such a sign.
+        over = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.runs = re.compile(r"(?s).+" if over else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.memo: dict[str, list[int]] | None = None if over else {}
+        self.memo_signs = 0
+
+    def edges(self, signs: str, end: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
         """(start, score, ids) of every piece that ends before `end`; shorter pieces first."""
         for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
             got = self.ids.get(signs[start:end])
@@ -54,55 +70,113 @@ class Pieces:
                 yield start, got[0], (got[1],)
         c = signs[end - 1]
         if c not in self.ids:
-            raw = c.encode("utf-8", "surrogatepass")
-            yield end - 1, self.byte_score * len(raw), tuple(self.bytes[b] for b in raw)
+            yield end - 1, *self.spelled(c)
+
+    def spelled(self, c: str) -> tuple[int, tuple[int, ...]]:
+        """Score and ids of a sign that is no piece, as its bytes."""
+        raw = c.encode("utf-8", "surrogatepass")
+        return self.byte_score * len(raw), tuple(self.bytes[b] for b in raw)
 
 
 class StreamingViterbi:
     """Best segmentation of signs that arrive in chunks of any size.
 
-    Only the last `longest` positions can start a piece that is still open. Their backpointer
-    paths are followed back together; when all of them pass one boundary, everything before it is
-    final: its ids are returned and forgotten. Of equal scores the shorter last piece wins.
+    `open` are the earlier places from which a piece is still open, with their scores and what the trie has
+    further on, so none is more than the longest piece back; these and the present place, of score `score`,
+    are the surviving ones. `back` holds the backpointers since the last commit. As soon as more of them than the longest piece are held, their paths are followed back at each
+    sign; where all pass one boundary, everything before it is final: its ids are returned and
+    forgotten. Before a space sign behind another sign only one path is left, which is committed whole;
+    the ids between two such places depend on the signs between alone and are remembered. Of equal
+    scores the shorter last piece wins.
     """
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
-        self.signs = ""  # since the last committed boundary
-        self.score = [0.0]
+        self.last = ""
+        self._restart()
+
+    def _restart(self) -> None:
         self.back: list[tuple[int, tuple[int, ...]]] = [(0, ())]
+        self.open: list[tuple[int, int, dict]] = []
+        self.score = 0
 
-    def feed(self, chunk: str) -> list[int]:
+    def feed(self, chunk: str, end: bool = False) -> list[int]:
+        """Ids that become final with this chunk; all of them if it is the last one."""
         out: list[int] = []
-        for c in chunk:
-            self.signs += c
-            end = len(self.signs)
-            best, link = -math.inf, (0, ())
-            for start, s, ids in self.p.edges(self.signs, end):
-                if self.score[start] + s > best:
-                    best, link = self.score[start] + s, (start, ids)
-            self.score.append(best)
-            self.back.append(link)
-            if end % (2 * self.p.longest) == 0:
-                out += self._commit()
+        memo, runs = self.p.memo, self.p.runs.findall(chunk)
+        for at, run in enumerate(runs):
+            if memo is None or (run[0] != SPACE or self.last == SPACE) and self.last:
+                out += self._steps(run)  # goes on with what the chunk before left open
+            else:
+                if len(self.back) > 1:
+                    out += self._flush()
+                got = memo.get(run)
+                if got is not None and (end or at + 1 < len(runs)):
+                    out += got
+                elif end or at + 1 < len(runs):
+                    out += self._remember(run)
+                else:
+                    out += self._steps(run)  # may go on in the next chunk
+            self.last = run[-1]
+        if end:
+            out += self._flush()
         return out
 
-    def _commit(self) -> list[int]:
-        end = len(self.signs)
-        # Positions from which a coming piece may start, and their paths' common boundary.
-        live = set(range(max(0, end - self.p.longest + 1), end + 1))
-        while len(live) > 1:
-            last = max(live)
-            live.remove(last)
-            live.add(self.back[last][0])
-        cut = live.pop()
-        ids = self._path(cut)
-        self.signs = self.signs[cut:]
-        base = self.score[cut]
-        self.score = [s - base for s in self.score[cut:]]
-        self.back = [(0, ()), *((max(0, b - cut), ids) for b, ids in self.back[cut + 1 :])]
+    def _remember(self, run: str) -> list[int]:
+        ids = self._steps(run)
+        ids += self._flush()
+        if self.p.memo_signs > MEMO_SIGNS:
+            self.p.memo.clear()
+            self.p.memo_signs = 0
+        self.p.memo[run] = ids
+        self.p.memo_signs += len(run)
         return ids
 
+    def _steps(self, signs: str) -> list[int]:
+        out: list[int] = []
+        back, open_, score, trie = self.back, self.open, self.score, self.p.trie
+        here, most = len(back) - 1, self.p.longest
+        for c in signs:
+            best, start, piece, following = LEAST, here, (), []
+            for at, base, longer in open_:  # long pieces first
+                node = longer.get(c)
+                if node is not None:
+                    further, s, ids = node
+                    if further:
+                        following.append((at, base, further))
+                    if s is not None and base + s >= best:
+                        best, start, piece = base + s, at, ids
+            further, s, ids = trie.get(c) or NOTHING
+            if s is None:
+                s, ids = self.p.spelled(c)
+            if score + s >= best:
+                best, start, piece = score + s, here, ids
+            if further:
+                following.append((here, score, further))
+            back.append((start, piece))
+            open_, score, here = following, best, here + 1
+            if here > most:
+                cut = self._meeting(open_, here)
+                if cut:
+                    out += self._path(cut)
+                    back[:] = [(0, ()), *((max(0, b - cut), ids) for b, ids in back[cut + 1 :])]
+                    open_, here = [(at - cut, base, longer) for at, base, longer in open_], here - cut
+        self.open, self.score = open_, score
+        return out
+
+    def _meeting(self, open_: list[tuple[int, int, dict]], here: int) -> int:
+        """Last boundary that the paths of all surviving places pass; 0 if they share none since the last commit."""
+        back, cut = self.back, here
+        for other, _, _ in open_:
+            while other != cut:
+                if other > cut:
+                    other = back[other][0]
+                else:
+                    cut = back[cut][0]
+            if not cut:
+                break
+        return cut
+
     def _path(self, end: int) -> list[int]:
         parts = []
         while end > 0:
@@ -111,9 +185,14 @@ class StreamingViterbi:
             end = start
         return [i for ids in reversed(parts) for i in ids]
 
+    def _flush(self) -> list[int]:
+        ids = self._path(len(self.back) - 1)
+        self._restart()
+        return ids
+
     def finish(self) -> list[int]:
-        ids = self._path(len(self.signs))
-        self.signs, self.score, self.back = "", [0.0], [(0, ())]
+        ids = self._flush()
+        self.last = ""
         return ids
 
 
@@ -157,27 +236,18 @@ def words_of(text: str) -> list[str]:
 
 
 def encode_text(p: Pieces, text: str) -> list[int]:
+    """Ids of the whole text by one decoder; none for an empty text."""
     if not text:
         return []
-    if not p.words_meet:
-        v = StreamingViterbi(p)
-        return v.feed(to_signs(text)) + v.finish()
-    if len(p.cache) > CACHE_WORDS:
-        p.cache.clear()
+    v, signs = StreamingViterbi(p), to_signs(text)
     out: list[int] = []
-    for w in words_of(text):
-        got = p.cache.get(w)
-        if got is None:
-            v = StreamingViterbi(p)
-            got = v.feed(w) + v.finish()
-            if len(w) <= 64:
-                p.cache[w] = got
-        out += got
+    for at in range(0, len(signs), CHUNK):
+        out += v.feed(signs[at : at + CHUNK], end=at + CHUNK >= len(signs))
     return out
 
 
 def decode_ids(p: Pieces, ids: Iterable[int]) -> str:
-    raw = b"".join(bytes([p.byte_of[i]]) if i in p.byte_of else p.text[i].encode("utf-8", "surrogatepass") for i in ids)
+    raw = b"".join(map(p.raw.__getitem__, ids))
     return from_signs(raw.decode("utf-8", "surrogatepass")) if raw else ""
 
 
@@ -215,7 +285,9 @@ def pieces(path: str) -> Pieces:
 def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, ids (one array per text; none for empty and null texts) and decoded text.
 
-    Null texts decode to null, all others to themselves. A very long text is one row of ids.
+    Null texts decode to null, all others to themselves. A very long text is one row of ids. An empty
+    table gives no rows, repeated rows and null ids one row each; columns not in `keep` do not matter.
+    Of segmentations of equal score that with the shorter last piece is taken, at every place.
     """
 
     def run(texts: list) -> dict:
@@ -223,8 +295,10 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) ->
         ids = [encode_text(p, t or "") for t in texts]
         return {"ids": ids, "decoded": [None if t is None else decode_ids(p, i) for t, i in zip(texts, ids, strict=True)]}
 
-    docs = docs.withColumn("_text", docs["text"])
-    return map_texts(docs, run, keep, "ids array<int>, decoded string", text="_text")
+    text = "_text"
+    while text in docs.columns:
+        text += "_"
+    return map_texts(docs.withColumn(text, docs["text"]), run, keep, "ids array<int>, decoded string", text=text)
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
