@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from etaforge.functions import clock, guards
 from etaforge.functions.geo import haversine_km
 from etaforge.functions.jsonmap import decode_features, encode_features
-from etaforge.operators import accuracy, drift, monitor, online, validate
+from etaforge.operators import accuracy, drift, fitted, monitor, online, validate
 from etaforge.operators.conform import (
     candidate_relationships,
     conform_orders,
@@ -843,6 +843,15 @@ def drift_all_features(spark, root):
     return _round(_feature_drift(spark, root), *_DRIFT_ROUNDED)
 
 
+@registered
+def drift_from_profile(spark, root):
+    rows = _stored_training_features(spark, root)
+    early = F.col("created_at") < _ts(DRIFT_SPLIT)
+    path = scratch_dir(spark, "drift-profile")
+    fitted.fit(rows.where(early), TRAINING_FEATURES, path)
+    return _round(fitted.detect(rows.where(~early), path), *_DRIFT_ROUNDED)
+
+
 @registered
 def drift_report(spark, root):
     return drift.drift_report(_feature_drift(spark, root))

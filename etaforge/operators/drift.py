@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from etaforge.operators.ranks import (
@@ -63,9 +63,13 @@ def ks_test(samples: DataFrame, columns: list[str], min_current: int = 0) -> Dat
 
     Columns with fewer than `min_current` current values give no row.
     """
+    return ks_results(ks_distance(samples, columns).where(F.col("n_cur") >= min_current))
+
+
+def ks_results(distances: DataFrame) -> DataFrame:
+    """Drift results from the rows of `ks_distance`."""
     enough = (F.col("n_ref") >= MIN_SAMPLE) & (F.col("n_cur") >= MIN_SAMPLE)
     p = ks_p_value(F.col("d"), F.col("n_ref"), F.col("n_cur"))
-    distances = ks_distance(samples, columns).where(F.col("n_cur") >= min_current)
     return distances.select(
         F.col("feature").alias("feature_name"),
         F.lit("ks_test").alias("test_name"),
@@ -93,15 +97,23 @@ def psi_components(samples: DataFrame, columns: list[str], bins: int = PSI_BINS)
         F.avg(F.when(F.col("is_ref"), F.col("value"))).alias("reference_mean"),
         F.avg(F.when(~F.col("is_ref"), F.col("value"))).alias("current_mean"),
     )
-    width = (F.col("high") - F.col("low")) / bins
-    bin_no = F.least(
-        F.lit(bins), F.greatest(F.lit(1), F.ceil(F.try_divide(F.col("value") - F.col("low"), width)))
-    )
+    bin_no = psi_bin(F.col("value"), F.col("low"), F.col("high"), bins)
     counts = (
         values.join(F.broadcast(ranges.select("feature", "low", "high")), "feature")
-        .groupBy("feature", F.coalesce(bin_no, F.lit(1)).alias("bin"))
+        .groupBy("feature", bin_no.alias("bin"))
         .agg(F.count_if("is_ref").alias("r"), F.count_if(~F.col("is_ref")).alias("c"))
     )
+    return psi_scores(ranges, counts, bins)
+
+
+def psi_bin(value: Column, low: Column, high: Column, bins: int = PSI_BINS) -> Column:
+    """Number of the equal-width bin, closed on the right; 1 in a flat range."""
+    place = F.ceil(F.try_divide(value - low, (high - low) / bins))
+    return F.coalesce(F.least(F.lit(bins), F.greatest(F.lit(1), place)), F.lit(1))
+
+
+def psi_scores(ranges: DataFrame, counts: DataFrame, bins: int = PSI_BINS) -> DataFrame:
+    """Both forms of PSI from each feature's range and sizes and its counts per bin."""
     grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
 
     def share(count: str, total: str):
@@ -128,9 +140,14 @@ def psi_components(samples: DataFrame, columns: list[str], bins: int = PSI_BINS)
 
 def psi_test(samples: DataFrame, columns: list[str], form: str = "psi_ratio") -> DataFrame:
     """PSI per column as a drift result; `form` is `psi_ratio` or the usual `psi_log`."""
+    return psi_results(psi_components(samples, columns), form)
+
+
+def psi_results(components: DataFrame, form: str = "psi_ratio") -> DataFrame:
+    """Drift results from the rows of `psi_components`."""
     enough = (F.col("n_ref") >= MIN_SAMPLE) & (F.col("n_cur") >= MIN_SAMPLE)
     psi = F.col(form)
-    return psi_components(samples, columns).select(
+    return components.select(
         F.col("feature").alias("feature_name"),
         F.lit("psi").alias("test_name"),
         F.when(enough, psi).otherwise(0.0).alias("statistic"),

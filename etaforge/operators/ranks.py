@@ -146,23 +146,37 @@ def ks_distance(df: DataFrame, columns: list[str], side: str = "side") -> DataFr
     Only rows of the remaining bins are shuffled.
     """
     is_ref = F.col(side) == "ref"
-    values = unpivot_numeric(df, columns, keep=[is_ref.alias("is_ref")])
-    bins = (
-        values.groupBy("feature", coarse_bin(F.col("value")).alias("bin"))
-        .agg(
-            F.count_if("is_ref").alias("r"),
-            F.count_if(~F.col("is_ref")).alias("c"),
-            F.sum(F.when(F.col("is_ref"), F.col("value"))).alias("sum_ref"),
-            F.sum(F.when(~F.col("is_ref"), F.col("value"))).alias("sum_cur"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-        )
-        .withColumns(
-            {
-                "r_end": _running_end(["feature"], "bin", "r"),
-                "c_end": _running_end(["feature"], "bin", "c"),
-            }
-        )
+    sides = [is_ref.cast("long").alias("r"), (~is_ref).cast("long").alias("c")]
+    values = unpivot_numeric(df, columns, keep=sides)
+    return ks_peaks(values, ks_open_bins(ks_bins(values)))
+
+
+def ks_bins(values: DataFrame) -> DataFrame:
+    """Per feature and coarse bin of `(feature, value, r, c)`: counts, sums and ends of both sides."""
+
+    def total(side: str) -> Column:
+        return F.sum(F.when(F.col(side) > 0, F.col(side) * F.col("value")))
+
+    return values.groupBy("feature", coarse_bin(F.col("value")).alias("bin")).agg(
+        F.sum("r").alias("r"),
+        F.sum("c").alias("c"),
+        total("r").alias("sum_ref"),
+        total("c").alias("sum_cur"),
+        F.min("value").alias("low"),
+        F.max("value").alias("high"),
+    )
+
+
+KS_FACTS = ["n_ref", "n_cur", "ref_mean", "cur_mean", "edge_max"]
+
+
+def ks_open_bins(bins: DataFrame) -> DataFrame:
+    """Bins that can hold D, with the gap at their start and the facts of their feature."""
+    bins = bins.withColumns(
+        {
+            "r_end": _running_end(["feature"], "bin", "r"),
+            "c_end": _running_end(["feature"], "bin", "c"),
+        }
     )
     whole = Window.partitionBy("feature")
     bins = bins.withColumns(
@@ -182,14 +196,15 @@ def ks_distance(df: DataFrame, columns: list[str], side: str = "side") -> DataFr
     first_bin = (F.col("r_end") == F.col("r")) & (F.col("c_end") == F.col("c"))
     # The first bin is kept in any case, so that every feature has a row to carry its facts.
     open_bins = bins.where(first_bin | ((bound > F.col("edge_max")) & (F.col("low") < F.col("high"))))
-    facts = ["n_ref", "n_cur", "ref_mean", "cur_mean", "edge_max"]
+    return open_bins.select("feature", "bin", "low", "high", "start", *KS_FACTS)
+
 
-    # Inside open bins: per fine bin, where the gap peaks relative to the fine bin's own start.
+def ks_peaks(values: DataFrame, open_bins: DataFrame) -> DataFrame:
+    """D from the values of the open bins: per fine bin, where the gap peaks relative to its own start."""
+    facts = KS_FACTS
     counted = (
         values.join(
-            F.broadcast(  # at most features x coarse bins rows
-                open_bins.select(F.col("feature").alias("_feature"), "bin", "low", "high", "start", *facts)
-            ),
+            F.broadcast(open_bins.withColumnRenamed("feature", "_feature")),  # at most features x coarse bins rows
             (F.col("feature") == F.col("_feature"))
             & (coarse_bin(F.col("value")) == F.col("bin")),
         )
@@ -201,7 +216,7 @@ def ks_distance(df: DataFrame, columns: list[str], side: str = "side") -> DataFr
             fine_bin(F.col("value"), F.col("low"), F.col("high")).alias("fine"),
             "value",
         )
-        .agg(F.count_if("is_ref").alias("r"), F.count_if(~F.col("is_ref")).alias("c"))
+        .agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     )
     step = _gap(F.col("r"), F.col("c"))
     fine_keys = ["feature", "bin", "fine"]

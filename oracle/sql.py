@@ -626,6 +626,7 @@ def statements() -> dict[str, str]:
     both = {**_ks("tf_long"), **_psi("tf_long")}
     out["drift_all_features"] = query(
         f"select {DRIFT_ROUND} from (select * from ks union all select * from psi)", **both)
+    out["drift_from_profile"] = out["drift_all_features"]
     out["drift_report"] = query("""
     select count(*) as total_tests, count(*) filter (is_drifted) as drifted_count,
       count(*) filter (is_drifted) > 0 as drift_detected,
