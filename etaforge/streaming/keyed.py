@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,14 @@ CLOSURES = (
     + ", ".join(f"{step}_at timestamp" for step in STEPS)
     + ", outcome string, closed_at timestamp"
 )
-#: Per step the first time in microseconds, the payloads, and the latest event's time.
-OPEN_ORDER = ", ".join(f"{step}_us bigint" for step in STEPS) + ", customer_id bigint, total bigint, driver_id bigint, last_us bigint"
+#: Open orders of a group, one place each: per step the first time in microseconds (`NEVER` without one),
+#: the payloads, and the latest event's time.
+TIMES = [f"{step}_us" for step in STEPS]
+OPEN_ORDERS = ", ".join(f"{c} array<bigint>" for c in ("order_id", *TIMES, "customer_id", "total", "driver_id", "last_us"))
+#: Groups of orders by the hash of their id, about four a state partition; more serve a larger cluster.
+GROUPS = 128
+NEVER = np.iinfo(np.int64).max
+NO_TIME = np.datetime64("NaT").astype(np.int64)
 PAYLOAD = {"customer_id": "placed", "total": "placed", "driver_id": "assigned"}
 
 
@@ -40,76 +47,91 @@ def shrink(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows[~rows.duplicated(same, keep="first") | ~rows.duplicated(same, keep="last")]
 
 
+def merge_events(state: dict, parts: list[pd.DataFrame]) -> tuple[dict, np.ndarray]:
+    """The open orders with a batch's events folded in, by rising id, and which of them had events."""
+    events = pd.concat(parts) if len(parts) > 1 else parts[0]
+    order, us = events["order_id"].to_numpy(np.int64), events["us"].to_numpy(np.int64)
+    kind = events["event_type"].to_numpy()
+    ids = np.union1d(state["order_id"], order)
+    size, held, at = len(ids), np.searchsorted(ids, state["order_id"]), np.searchsorted(ids, order)
+    out = {"order_id": ids} | {c: np.full(size, NEVER) for c in TIMES}
+    out |= {c: pd.array([None] * size, dtype="Int64") for c in PAYLOAD} | {"last_us": np.full(size, -NEVER)}
+    for column, values in state.items():
+        out[column][held] = values
+    by_time = np.argsort(us, kind="stable")
+    for step, times in zip(STEPS, TIMES, strict=True):
+        own = by_time[kind[by_time] == step]
+        own = own[np.unique(at[own], return_index=True)[1]]  # an order's first event of the step
+        own = own[us[own] < out[times][at[own]]]
+        out[times][at[own]] = us[own]
+        for column in (c for c, source in PAYLOAD.items() if source == step):
+            values = pd.array(events[column].iloc[own].tolist(), dtype="Int64")
+            known = ~values.isna()
+            out[column][at[own][known]] = values[known]
+    np.maximum.at(out["last_us"], at, us)
+    touched = np.zeros(size, bool)
+    touched[at] = True
+    return out, touched
+
+
 def close_orders(timeout_us: int, grace_us: int):
-    """State function: folds an order's events and gives one row when its timer goes off.
+    """State function of a group of orders: folds their events and gives a row for each that is due.
 
-    The timer stands `grace` after the delivery or cancellation, so events out of order still
-    count, or `timeout` after the latest event of an order that has neither.
+    An order is due `grace` after the delivery or cancellation, so events out of order still
+    count, or `timeout` after the latest event of an order that has neither. The timer of the
+    group stands at its first due order.
     """
-    width = len(STEPS)
-
-    def ended(state: list) -> tuple[str, int] | None:
-        """The earlier one of delivery and cancellation."""
-        ends = [(state[STEPS.index(step)], step) for step in ("delivered", "cancelled")]
-        ends = [e for e in ends if e[0] is not None]
-        return (min(ends)[1], min(ends)[0]) if ends else None
-
-    def row(key: tuple, state: list) -> pd.DataFrame:
-        outcome, at = ended(state) or ("abandoned", state[-1] + timeout_us)
-        us = [*state[:width], at]
-        times = dict(zip((*(f"{s}_at" for s in STEPS), "closed_at"), us, strict=True))
-        made = {"order_id": [key[0]], **{c: [v] for c, v in zip(PAYLOAD, state[width:-1], strict=True)}}
-        made |= {c: [pd.NaT if v is None else pd.Timestamp(v, unit="us")] for c, v in times.items()}
-        out = pd.DataFrame(made | {"outcome": [outcome]})
-        return out.astype({c: "Int64" for c in ("order_id", *PAYLOAD)})
+
+    def closed(orders: dict, ends: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+        cancelled = orders["cancelled_us"] <= orders["delivered_us"]
+        outcome = np.where(ends == NEVER, "abandoned", np.where(cancelled, "cancelled", "delivered"))
+        times = {f"{step}_at": orders[us] for step, us in zip(STEPS, TIMES, strict=True)} | {"closed_at": at}
+        times = {c: np.where(us == NEVER, NO_TIME, us).view("datetime64[us]") for c, us in times.items()}
+        return pd.DataFrame({c: orders[c] for c in ("order_id", *PAYLOAD)} | times | {"outcome": outcome})
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            state = list(held.get)
+        columns = [c.split()[0] for c in OPEN_ORDERS.split(", ")]
+        state = dict(zip(columns, held.get if held.exists else [[]] * len(columns), strict=True))
+        state = {c: pd.array(v, dtype="Int64") if c in PAYLOAD else np.array(v, np.int64) for c, v in state.items()}
+        touched = np.zeros(len(state["order_id"]), bool)
+        if not held.hasTimedOut:
+            state, touched = merge_events(state, list(parts))
+        ends = np.minimum(state["delivered_us"], state["cancelled_us"])
+        ended, watermark_ms = ends != NEVER, held.getCurrentWatermarkMs()
+        at = np.where(ended, ends, state["last_us"] + timeout_us)
+        due_ms = -(-np.where(ended, at + grace_us, at) // 1000)
+        due = np.where(touched, due_ms <= watermark_ms, due_ms < watermark_ms)
+        left = {c: v[~due] for c, v in state.items()}
+        if len(left["order_id"]):
+            held.update(tuple([None if pd.isna(x) else int(x) for x in v] if c in PAYLOAD else v.tolist() for c, v in left.items()))
+            held.setTimeoutTimestamp(max(int(due_ms[~due].min()), watermark_ms + 1))
+        elif held.exists:
             held.remove()
-            yield row(key, state)
-            return
-        state = list(held.get) if held.exists else [None] * (width + len(PAYLOAD) + 1)
-        for part in parts:
-            for event in part.sort_values("us").itertuples(index=False):
-                step = STEPS.index(event.event_type)
-                if state[step] is None or event.us < state[step]:
-                    state[step] = event.us
-                    for n, (column, source) in enumerate(PAYLOAD.items()):
-                        value = getattr(event, column)
-                        if source == event.event_type and not pd.isna(value):
-                            state[width + n] = int(value)
-                state[-1] = event.us if state[-1] is None else max(state[-1], event.us)
-        state = [None if v is None else int(v) for v in state]
-        end = ended(state)
-        due_ms = -(-(end[1] + grace_us if end else state[-1] + timeout_us) // 1000)
-        if due_ms <= held.getCurrentWatermarkMs():
-            if held.exists:
-                held.remove()
-            yield row(key, state)
-        else:
-            held.update(tuple(state))
-            held.setTimeoutTimestamp(due_ms)
+        if due.any():
+            yield closed({c: v[due] for c, v in state.items()}, ends[due], at[due])
 
     return fold
 
 
 def order_closures(
-    events: DataFrame, timeout_hours: int = 48, grace_hours: int = 1, delay: str = DEFAULT_DELAY
+    events: DataFrame, timeout_hours: int = 48, grace_hours: int = 1, delay: str = DEFAULT_DELAY, groups: int = GROUPS
 ) -> DataFrame:
     """A stream of closed orders: lifecycle times, `outcome` (delivered, cancelled, abandoned) and
-    `closed_at`. The state holds open orders only; of a hot order at most two events per step and
-    Arrow batch reach its task."""
+    `closed_at`. The state holds open orders only, dealt by a hash of the id to `groups` groups that
+    are folded as whole columns; a call of Python an order would take most of the time. Of a hot
+    order at most two events per step and Arrow batch reach its task."""
     rows = step_rows(events).mapInPandas(shrink, step_rows(events).schema).withWatermark("event_at", delay)
+    group = F.pmod(F.xxhash64("order_id"), F.lit(groups)).cast("int")
     hour = 3_600_000_000
-    return rows.groupBy("order_id").applyInPandasWithState(
-        close_orders(timeout_hours * hour, grace_hours * hour), CLOSURES, OPEN_ORDER, "append", GroupStateTimeout.EventTimeTimeout
+    return rows.withColumn("group", group).groupBy("group").applyInPandasWithState(
+        close_orders(timeout_hours * hour, grace_hours * hour), CLOSURES, OPEN_ORDERS, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def stream_order_closures(events: DataFrame, path: str, checkpoint: str, **limits) -> StreamingQuery:
+def stream_order_closures(events: DataFrame, path: str, checkpoint: str, groups: int = GROUPS, **limits) -> StreamingQuery:
     return run_batches(
-        order_closures(events, **limits), lambda rows, batch_id: store_batch(rows, batch_id, path), checkpoint
+        order_closures(events, groups=groups, **limits), lambda rows, batch_id: store_batch(rows, batch_id, path),
+        checkpoint, partitions=max(groups // 4, 1),
     )
 
 

@@ -21,9 +21,22 @@ def drain(writer, checkpoint: str) -> StreamingQuery:
 
 
 def run_batches(
-    stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+    stream: DataFrame,
+    handle: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    mode: str = "append",
+    partitions: int | None = None,
 ) -> StreamingQuery:
-    return drain(stream.writeStream.outputMode(mode).foreachBatch(handle), checkpoint)
+    """`partitions`: at most so many state partitions of a new query. Each commits files of its own in
+    every micro-batch, so a state of few rows wants few; a checkpoint keeps the number it began with."""
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    if partitions is not None:
+        conf.set(name, min(partitions, int(before)))
+    try:
+        return drain(stream.writeStream.outputMode(mode).foreachBatch(handle), checkpoint)
+    finally:
+        conf.set(name, before)
 
 
 def store_batch(rows: DataFrame, batch_id: int, path: str) -> None:

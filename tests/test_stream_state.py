@@ -134,6 +134,20 @@ def test_closure_rows_equal_the_lifecycle_fold(spark, place):
     assert same_rows(got.drop("outcome", "closed_at"), fold.join(got.select("order_id"), "order_id"))
 
 
+def test_open_orders_share_the_state_rows_and_python_calls_of_their_group(spark, place):
+    """Orders are folded in groups: 400 open ones are at most 4 rows of state, and all close as before."""
+    rows = [(o, "placed", o % 7) for o in range(400)] + [(o, "delivered", 20 + o % 5) for o in range(0, 400, 2)]
+    rows += [(1, "cancelled", 24), (3, "delivered", 25), (3, "cancelled", 25), (1000, "placed", 200)]
+    query, got = closures(spark, place, rows, 3, timeout_hours=24, grace_hours=1, groups=4)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    assert set(got) == {*range(0, 400, 2), 1, 3}
+    assert {got[o]["outcome"] for o in range(0, 400, 2)} == {"delivered"}
+    assert got[1]["outcome"] == got[3]["outcome"] == "cancelled"
+    for o in range(0, 400, 2):
+        assert minutes_of(got[o], "placed_at") == o % 7 and minutes_of(got[o], "closed_at") == 20 + o % 5
+        assert (got[o]["customer_id"], got[o]["total"], got[o]["driver_id"], got[o]["assigned_at"]) == (o * 10 or None, 5, None, None)
+
+
 def test_repeats_of_a_hot_order_are_shrunk_before_its_task(spark):
     hot = spark.range(20_000).selectExpr(
         "1L as order_id", "'placed' as event_type", f"timestamp_seconds({START} + id) as event_at", "1L as customer_id", "1L as total", "1L as driver_id"
