@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -220,7 +221,7 @@ def distinct_answers(
         border = (F.floor(first / span) + 1) * span  # first second of the span after
 
         def step(at: Column, delta: int) -> Column:
-            return F.struct(F.lit(span).alias("span"), at.alias("sec"), F.lit(delta).cast("long").alias("delta"))
+            return F.struct(at.alias("sec"), F.lit(delta).cast("long").alias("delta"))
 
         return F.array(
             step(first, 1),
@@ -229,24 +230,23 @@ def distinct_answers(
             F.when(last >= border, step(last + 1, -1)),
         )
 
-    changes = visits.select("k", F.explode(F.array_compact(F.concat(*map(steps, spans)))).alias("c")).select(
-        "k", "c.*", F.lit(False).alias("asked")
-    )
-    probes = (
-        targets.where(F.col(key).isNotNull() & F.col(as_of).isNotNull())
-        .select(F.col(key).alias("k"), F.unix_seconds(as_of).alias("sec"))
-        .select("k", F.explode(F.array(*map(F.lit, spans))).alias("span"), "sec")
-        .withColumns({"delta": F.lit(0).cast("long"), "asked": F.lit(True)})
-    )
-    seconds = changes.unionByName(probes).groupBy("span", "k", F.floor(F.col("sec") / F.col("span")).alias("part"), "sec").agg(
-        F.sum("delta").alias("delta"), F.bool_or("asked").alias("asked")
-    )
-    until = Window.partitionBy("span", "k", "part").orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
-    counted = seconds.withColumn("n", F.sum("delta").over(until)).where("asked")
-    return counted.groupBy("k", F.col("sec").alias("t")).agg(
-        *(F.max(F.when(F.col("span") == span, F.col("n"))).alias(name) for span, name in spans.items())
+    asked_at = targets.where(F.col(key).isNotNull() & F.col(as_of).isNotNull()).select(
+        F.col(key).alias("k"), F.unix_seconds(as_of).alias("sec"), F.lit(0).cast("long").alias("delta"), F.lit(True).alias("asked")
     )
 
+    def counts(span: int) -> DataFrame:
+        """A pass per window: its steps alone are what an aggregating task holds."""
+        changes = visits.select("k", F.explode(F.array_compact(steps(span))).alias("c")).select("k", "c.*", F.lit(False).alias("asked"))
+        seconds = changes.unionByName(asked_at).groupBy("k", "sec").agg(
+            F.sum("delta").alias("delta"), F.bool_or("asked").alias("asked")
+        )
+        until = Window.partitionBy("k", F.floor(F.col("sec") / span)).orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
+        counted = seconds.withColumn("n", F.sum("delta").over(until)).where("asked")
+        own = (F.when(F.lit(span == other), F.col("n")).alias(name) for other, name in spans.items())
+        return counted.select("k", F.col("sec").alias("t"), *own)
+
+    return reduce(DataFrame.unionByName, map(counts, spans)).groupBy("k", "t").agg(*(F.max(n).alias(n) for n in spans.values()))
+
 
 def _with_center(history: DataFrame, key: str, value: str) -> DataFrame:
     """Adds `center`, a middle value of the key. Squares are summed as distances from it: those

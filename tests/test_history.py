@@ -217,6 +217,16 @@ def test_registered_aggregate_works_in_features(spark):
     assert len(set(hashes.values())) == 3
 
 
+def test_distinct_windows_are_aggregated_apart(spark):
+    """The steps of all windows in one aggregation would make a task's memory grow with the windows."""
+    rows = spark.createDataFrame([(1, 5, "2024-01-01 00:00:00", 1.0)], "k long, who long, e string, v double")
+    rows = rows.withColumn("e", F.col("e").cast("timestamp"))
+    aggs = [RollingAgg(f"d{days}", "distinct", days, "who") for days in (1, 7, 30)]
+    out = rolling_features(rows.select("k", F.col("e").alias("at")), rows, "k", "at", "e", "v", aggs)
+    steps = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line and "sum(delta" in line]
+    assert len(steps) == 3 and not any("span" in line for line in steps)
+
+
 def test_distinct_needs_its_column():
     with pytest.raises(ValueError):
         RollingAgg("x", "distinct", 30)
