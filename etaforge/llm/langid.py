@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, mix, ship
@@ -117,8 +117,8 @@ def held_out(col: str):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame) -> LanguageFilter:
-    """Filters from the text and lang of all rows that are not held out.
+def learn(docs: DataFrame, known: Column | None = None) -> LanguageFilter:
+    """Filters from the text and lang of all rows that are not held out, or of those that are `known`.
 
     Trigrams are counted exactly over all of them; only those of a share of MIN_SHARE or more in a
     language reach the driver, at most a million for a language. Null texts and langs are skipped.
@@ -157,7 +157,7 @@ def learn(docs: DataFrame) -> LanguageFilter:
         yield from rows()
 
     counts = (
-        docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
+        docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (~held_out("doc_id") if known is None else known))
         .select("text", "lang")
         .mapInArrow(count, "lang string, gram long, n long")
         .groupBy("lang", "gram")

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from etaforge.llm import langid, phrases, pii, records, shards, superminhash, tiling, toxicity, viterbi
 from etaforge.llm.queries import tokenizer_file
@@ -260,6 +261,30 @@ def test_toxicity(spark):
     assert np.mean([r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got if r["held_out"] and r["doc_id"] < 900]) > 0.9
 
 
+def test_toxicity_trains_on_every_labelled_row(spark):
+    """Several parts are all fitted and counted, not only as many rows as one part holds."""
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 50, 30)) + (f" vile{i % 16}" if i % 4 == 0 else ""), "en") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, rows=200)
+    used = df.where(~toxicity.held_out("doc_id")).count()
+    assert used > 600  # at least four parts
+    got = toxicity.score(df, model).collect()
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got if r["held_out"]]) > 0.9
+    rare = [(i, "plain words here" + (" hideous" if i % 4 == 0 else "")) for i in range(400)]
+    late = spark.createDataFrame(rare, "doc_id long, text string")
+    counts = []
+    toxicity._start, kept = lambda df, *rest: counts.append(df) or kept(df, *rest), toxicity._start
+    try:
+        toxicity.fit(late, labels.where("doc_id < 400"), rows=40)
+    finally:
+        toxicity._start = kept
+    fitted = late.where(~toxicity.held_out("doc_id") & (F.col("doc_id") % 4 == 0)).count()
+    word = toxicity.word_buckets(["hideous"], 1 << 17)[0, 0]
+    assert 0.75 * fitted < counts[0][1, word] <= fitted and counts[0][0, word] == 0
+
+
 def test_toxicity_without_usable_labels(spark, docs):
     ids = [i for i, _ in ROWS if i is not None]
     held = [r["doc_id"] for r in docs.where(toxicity.held_out("doc_id")).select("doc_id").collect()]
