@@ -126,50 +126,69 @@ def learn(docs: DataFrame, known: Column | None = None) -> LanguageFilter:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, dict[int, int]] = {}
-        held = 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for lang, own in sums.items():
-                items = list(own.items())
-                for lo in range(0, len(items), 50_000):
-                    ks, ns = zip(*items[lo : lo + 50_000], strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(ks)), pa.array(ks, pa.int64()), pa.array(ns, pa.int64())], ["lang", "gram", "n"]
-                    )
+        grams = Grams()
+
+        def rows(most: int) -> Iterator[pa.RecordBatch]:
+            for lang, ks, ns in grams.taken(most):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(ks)), pa.array(ks, pa.int64()), pa.array(ns, pa.int64())], ["lang", "gram", "n"]
+                )
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256).to_pydict()
-                by: dict[str, list[np.ndarray]] = {}
-                for text, lang in zip(part["text"], part["lang"], strict=True):
-                    by.setdefault(lang, []).append(trigrams(text))
-                for lang, keys in by.items():
-                    uniq, n = np.unique(np.concatenate(keys), return_counts=True)
-                    own = sums.setdefault(lang, {})
-                    before = len(own)
-                    for k, c in zip(uniq.astype(np.int64).tolist(), n.tolist(), strict=True):
-                        own[k] = own.get(k, 0) + c
-                    held += len(own) - before
-            if held > 500_000:
-                yield from rows()
-                sums, held = {}, 0
-        yield from rows()
-
-    counts = (
+                grams.add(part["text"], part["lang"])
+            yield from rows(500_000)
+        yield from rows(0)
+
+    return from_grams(
         docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (~held_out("doc_id") if known is None else known))
         .select("text", "lang")
         .mapInArrow(count, "lang string, gram long, n long")
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
     )
+
+
+class Grams:
+    """Trigram counts of each language in one task. Null texts and langs are skipped."""
+
+    def __init__(self):
+        self.sums: dict[str, dict[int, int]] = {}
+        self.held = 0
+
+    def add(self, texts: list, langs: list) -> None:
+        by: dict[str, list[np.ndarray]] = {}
+        for text, lang in zip(texts, langs, strict=True):
+            if text is not None and lang is not None:
+                by.setdefault(lang, []).append(trigrams(text))
+        for lang, keys in by.items():
+            uniq, n = np.unique(np.concatenate(keys), return_counts=True)
+            own = self.sums.setdefault(lang, {})
+            before = len(own)
+            for k, c in zip(uniq.astype(np.int64).tolist(), n.tolist(), strict=True):
+                own[k] = own.get(k, 0) + c
+            self.held += len(own) - before
+
+    def taken(self, most: int) -> Iterator[tuple[str, list[int], list[int]]]:
+        """All counts, which are then forgotten, if more than `most` are held."""
+        if self.held <= most:
+            return
+        for lang, own in self.sums.items():
+            items = list(own.items())
+            for lo in range(0, len(items), 50_000):
+                ks, ns = zip(*items[lo : lo + 50_000], strict=True)
+                yield lang, list(ks), list(ns)
+        self.sums, self.held = {}, 0
+
+
+def from_grams(found: DataFrame) -> LanguageFilter:
+    """Filters from trigram counts (lang, gram, n), several for a trigram."""
     from ..session import write_through
 
-    counts = write_through(counts, "grams")
+    counts = write_through(found.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r["lang"]: r["t"] for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     if not totals:
         return LanguageFilter.build({})
-    totals_df = docs.sparkSession.createDataFrame(list(totals.items()), "lang string, t long")
+    totals_df = found.sparkSession.createDataFrame(list(totals.items()), "lang string, t long")
     kept = counts.join(F.broadcast(totals_df), "lang").where(F.col("n") >= MIN_SHARE * F.col("t")).toPandas()
     return LanguageFilter.from_counts(list(zip(kept.lang, kept.gram, kept.n, kept.t, strict=True)))
 

@@ -285,6 +285,43 @@ def test_toxicity_trains_on_every_labelled_row(spark):
     assert 0.75 * fitted < counts[0][1, word] <= fitted and counts[0][0, word] == 0
 
 
+def test_toxicity_parts_are_stored_in_chunks(spark):
+    """A part has a partition of its own and is kept in rows of bounded size, so no task holds several whole parts."""
+    from glob import glob
+
+    from etaforge.session import shared_root
+
+    rows = [(i, f"plain words number {i % 90} here" + (" vile" if i % 4 == 0 else ""), "en") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    before = set(glob(f"{shared_root(spark)}/parts-*"))
+    toxicity.fit(df, df.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")), rows=2000)
+    (folder,) = set(glob(f"{shared_root(spark)}/parts-*")) - before
+    stored = spark.read.parquet(folder)
+    chunks = [(r["f"], toxicity.pickle.loads(r["packed"])) for r in stored.where("packed is not null").withColumn("f", F.input_file_name()).collect()]
+    assert sum(len(c.y) for _, c in chunks) == df.where(~toxicity.held_out("doc_id")).count()
+    assert all(len(c.y) <= toxicity.CHUNK_ROWS for _, c in chunks)
+    assert len({f for f, _ in chunks}) == len({c.part for _, c in chunks}) == len({(f, c.part) for f, c in chunks}) > 1
+    assert {r["lang"] for r in stored.where("gram is not null").collect()} == {"en"}
+
+
+def test_toxicity_scores_are_those_of_every_window():
+    rng = np.random.default_rng(2)
+    model = toxicity._start(rng.random((2, 1000)), 5.0, 5.0, 5.0, 5.0, rng, 12, (1, 2, 3), 8)
+    texts = ["", None, "one", "one two", "three one two", *(" ".join(f"w{k}" for k in rng.integers(0, 300, n)) for n in (40, 8194, 8195, 30_000))]
+    got = model.scores(texts)["score"]
+    assert np.array_equal(got, np.concatenate([model.scores([t])["score"] for t in texts]))
+    for text, have in zip(texts, got, strict=True):
+        words = toxicity.TOKEN.findall(text or "")
+        vectors, out = np.zeros((max(len(words), 3), 12), np.float32), []
+        if words:
+            vectors[: len(words)] = model.word_vectors(words)
+        for w, f in model.filters.items():
+            places = range(max(1, len(words) - w + 1))
+            out.append(np.max([vectors[at : at + w].ravel() @ f for at in places], axis=0) + model.bias[w])
+        z = np.maximum(np.concatenate(out), 0) @ model.out + model.out_bias
+        assert abs(have - 1 / (1 + np.exp(-z))) < 1e-5
+
+
 def test_toxicity_without_usable_labels(spark, docs):
     ids = [i for i, _ in ROWS if i is not None]
     held = [r["doc_id"] for r in docs.where(toxicity.held_out("doc_id")).select("doc_id").collect()]
