@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -258,20 +259,36 @@ def counts_by_trie(p: Pieces, words: list[str]) -> dict[str, int]:
     path of the prefix shared with the word before. A word's end stores its count.
     """
     out: dict[str, int] = {}
-    score, count, before = [0.0], [0], ""
+    # At each place of the path: its score, its pieces, and the earlier places from which a piece is still open.
+    score, count, opened, before, trie = [0], [0], [[]], "", p.trie
     for w in sorted(set(words)):
         shared = 0
         most = min(len(w), len(before))
         while shared < most and w[shared] == before[shared]:
             shared += 1
-        del score[shared + 1 :], count[shared + 1 :]
-        for end in range(shared + 1, len(w) + 1):
-            best, n = -math.inf, 0
-            for start, s, ids in p.edges(w, end):
-                if score[start] + s > best:
-                    best, n = score[start] + s, count[start] + len(ids)
-            score.append(best)
+        del score[shared + 1 :], count[shared + 1 :], opened[shared + 1 :]
+        here, pieces_here, open_ = score[-1], count[-1], opened[-1]
+        for c in w[shared:]:
+            best, n, following = LEAST, 0, []
+            for base, k, longer in open_:  # long pieces first; of equal scores the shorter last piece wins
+                node = longer.get(c)
+                if node is not None:
+                    further, s, _ = node
+                    if further:
+                        following.append((base, k, further))
+                    if s is not None and base + s >= best:
+                        best, n = base + s, k + 1
+            further, s, ids = trie.get(c) or NOTHING
+            if s is None:
+                s, ids = p.spelled(c)
+            if here + s >= best:
+                best, n = here + s, pieces_here + len(ids)
+            if further:
+                following.append((here, pieces_here, further))
+            here, pieces_here, open_ = best, n, following
+            score.append(here)
             count.append(n)
+            opened.append(open_)
         out[w], before = count[-1], w
     return out
 
@@ -314,7 +331,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
         known = counts_of(model)
         if len(known) > CACHE_WORDS:
             known.clear()
-        known.update(counts_by_trie(p, list({w for ws in cut for w in ws} - known.keys())))
+        known.update(counts_by_trie(p, list(set(chain.from_iterable(cut)).difference(known))))
         return {"n_words": [len(ws) for ws in cut], "n_tokens": [sum(map(known.__getitem__, ws)) for ws in cut]}
 
     return map_texts(docs, run, ("doc_id",), "n_words bigint, n_tokens bigint")

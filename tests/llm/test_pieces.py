@@ -113,3 +113,21 @@ def test_token_counts_table(spark, pieces):
     assert got == want
     assert viterbi.token_counts(docs, MODEL).where("doc_id is null").count() == 1
     assert viterbi.token_counts(docs.limit(0), MODEL).count() == 0
+
+
+def test_counts_follow_the_trie_and_look_up_no_slices():
+    p = viterbi.pieces(tokenizer_file("piece_bpe_32k.model"))
+    words = [w for t in ["counted counting count", "été \U0001f600x naïve▁", "  a", "xq" * 40, "a\ue000b"] for w in viterbi.words_of(t)]
+    want = {}
+    for w in set(words):
+        v = viterbi.StreamingViterbi(p)
+        want[w] = len(v.feed(w, end=True))
+
+    def no_slices(*_):
+        raise AssertionError("a slice of the word was looked up")
+
+    p.edges = no_slices
+    try:
+        assert viterbi.counts_by_trie(p, words) == want
+    finally:
+        del p.edges
