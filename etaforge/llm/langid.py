@@ -96,7 +96,7 @@ class LanguageFilter:
         Of equal counts the first name wins.
         """
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-        shifts = np.arange(64, dtype=np.uint64)
+        shifts = [np.arange(min(64, len(self.names) - lo), dtype=np.uint64) for lo in range(0, len(self.names), 64)]
         for i, t in enumerate(texts):
             uniq, n = np.unique(trigrams(t), return_counts=True) if t else ((), ())
             if not len(uniq) or not self.names:
@@ -104,9 +104,9 @@ class LanguageFilter:
             mask = None
             for at in self.probes(uniq, len(self.bits)):
                 mask = self.bits[at] if mask is None else mask & self.bits[at]
-            hits = np.concatenate([n @ (mask[:, [w]] >> shifts & np.uint64(1)).astype(np.int64) for w in range(mask.shape[1])])
+            hits = np.concatenate([n @ (mask[:, [w]] >> s & np.uint64(1)).astype(np.int64) for w, s in enumerate(shifts)])
             total = n.sum()
-            real = np.clip((hits[: len(self.names)] - total * self.wrong) / np.maximum(1 - self.wrong, 1e-9), 0, None)
+            real = np.clip((hits - total * self.wrong) / np.maximum(1 - self.wrong, 1e-9), 0, None)
             best = int(real.argmax())
             langs[i] = self.names[best]
             scores[i] = real[best] / real.sum() if real.sum() > 0 else 1 / len(self.names)
