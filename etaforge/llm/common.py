@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import zipfile
@@ -20,6 +22,27 @@ UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+#: What the operators keep in a Python worker from one task to the next, by module: ways to drop it.
+DROPS: dict[str, Callable[[], None]] = {}
+_HOLDER: list[str] = []
+
+
+def take_over(module: str) -> None:
+    """Drop what operators of other modules keep in this worker and give the memory back, so that a
+    chain of jobs holds the caches of one operator at a time. Called where a task begins."""
+    if _HOLDER == [module]:
+        return
+    for name, drop in DROPS.items():
+        if name != module:
+            drop()
+    _HOLDER[:] = [module]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+    if trim:
+        trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per application."""
     sc = spark.sparkContext
@@ -54,6 +77,7 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict], keep: tuple[str, ...],
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(fn.__module__)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -76,6 +100,7 @@ class Hashes(dict):
 
 
 HASHES = Hashes()
+DROPS[__name__] = HASHES.clear
 
 
 def word_hashes(words: list[str]) -> np.ndarray:

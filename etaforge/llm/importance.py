@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_through
-from .common import SLICE, map_texts, partitions, ship
+from .common import DROPS, SLICE, map_texts, partitions, ship, take_over
 
 #: A word in the UTF-8 bytes of a text whose A-Z are lower-cased: digits, a-z, and all beyond ASCII.
 BYTE_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -65,6 +65,7 @@ class Buckets(dict):
 
 
 _KNOWN: dict[int, Buckets] = {}
+DROPS[__name__] = _KNOWN.clear
 
 
 def features_of(text: str | None, longest: int) -> tuple[list[bytes], int]:
@@ -90,6 +91,7 @@ def bucket_counts(docs: DataFrame, text: str = "text", longest: int = 1, buckets
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):

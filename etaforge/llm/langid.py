@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix, ship
+from .common import map_texts, mix, ship, take_over
 
 #: A trigram is in a language's filter if its share of that language's trigrams is at least this,
 #: so a filter has at most a million members whatever the size of the corpus ...
@@ -126,6 +126,7 @@ def learn(docs: DataFrame, known: Column | None = None) -> LanguageFilter:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(__name__)
         grams = Grams()
 
         def rows(most: int) -> Iterator[pa.RecordBatch]:

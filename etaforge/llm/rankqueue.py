@@ -10,7 +10,7 @@ from heapq import heappop, heappush
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import DROPS, map_texts
 
 #: Bits of a bottom word of the bitmap; the top word has a bit per bottom word.
 WORD_BITS = 10
@@ -153,6 +153,7 @@ def unpacked(ids: bytes) -> tuple[int, ...]:
 
 
 _ENCODERS: dict[tuple[str, str], RankBpe] = {}
+DROPS[__name__] = _ENCODERS.clear
 
 
 def encoder(lines: bytes, pattern: str) -> RankBpe:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir, write_through
-from .common import partitions, ship
+from .common import DROPS, partitions, ship, take_over
 
 # A record is: length (uint64), masked crc of the length (uint32), payload, masked crc of the
 # payload (uint32); all little-endian. A payload is the bytes an id takes (uint8: 2 for vocabularies
@@ -30,6 +30,7 @@ SPACED = re.compile(r"\s | \s|\A | \Z")
 INNER = re.compile(r" \S(?:.*\S)?\Z", re.DOTALL).match
 CUT = re.compile(r"(?<=\S)(?= \S)")
 _ENCODERS: dict = {}
+DROPS[__name__] = _ENCODERS.clear
 
 
 def masked(data: bytes) -> int:
@@ -159,6 +160,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str
     folder = qualified(spark, folder or scratch_dir(spark, "records"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        take_over(__name__)
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         ctx, enc = TaskContext.get(), encoder(tokenizer)

@@ -9,7 +9,7 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import DROPS, map_texts
 
 SPACE = "▁"
 CACHE_WORDS = 300_000
@@ -340,5 +340,13 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
 _COUNTS: dict[str, dict[str, int]] = {}
 
 
+def _drop() -> None:
+    _MODELS.clear()
+    _COUNTS.clear()
+
+
+DROPS[__name__] = _drop
+
+
 def counts_of(model: str) -> dict[str, int]:
     return _COUNTS.setdefault(model, {})

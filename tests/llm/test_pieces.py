@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from etaforge.llm import viterbi
+from etaforge.llm import common, viterbi
 from etaforge.llm.queries import tokenizer_file
 
 MODEL = tokenizer_file("piece_bpe_32k.model")
@@ -131,3 +131,17 @@ def test_counts_follow_the_trie_and_look_up_no_slices():
         assert viterbi.counts_by_trie(p, words) == want
     finally:
         del p.edges
+
+
+def test_another_operator_drops_what_the_decoder_kept(spark, pieces):
+    docs = spark.range(64).selectExpr("id as doc_id", "concat('word', id, ' and another') as text").repartition(8)
+    viterbi.encode(docs, MODEL).count()
+    viterbi.token_counts(docs, MODEL).count()
+
+    def left(texts):
+        from etaforge.llm import common, viterbi
+
+        return {"n": [len(viterbi._MODELS) + len(viterbi._COUNTS) + len(common.HASHES)] * len(texts)}
+
+    assert {r["n"] for r in common.map_texts(docs, left, ("doc_id",), "n int").collect()} == {0}
+    assert viterbi.encode(docs, MODEL, ("doc_id", "text")).where("decoded = text").count() == 64
