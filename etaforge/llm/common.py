@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE = 256
+#: Rows of an Arrow batch at most: ten thousand whole texts are held several times over by the JVM and by Python.
+BATCH_ROWS = 4 * SLICE
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -29,14 +31,14 @@ _HOLDER: list[str] = []
 
 def take_over(module: str) -> None:
     """Drop what operators of other modules keep in this worker and give the memory back, so that a
-    chain of jobs holds the caches of one operator at a time. Called where a task begins."""
-    if _HOLDER == [module]:
-        return
-    for name, drop in DROPS.items():
-        if name != module:
-            drop()
-    _HOLDER[:] = [module]
-    gc.collect()
+    chain of jobs holds the caches of one operator at a time. Called where a task begins; what the
+    task before took and freed is given back as well."""
+    if _HOLDER != [module]:
+        for name, drop in DROPS.items():
+            if name != module:
+                drop()
+        _HOLDER[:] = [module]
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
     if trim:
@@ -44,8 +46,11 @@ def take_over(module: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
+    """Give the executors' Python workers this package, once per application, and small batches of texts."""
     sc = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
     if getattr(sc, "_etaforge_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

@@ -145,3 +145,21 @@ def test_another_operator_drops_what_the_decoder_kept(spark, pieces):
 
     assert {r["n"] for r in common.map_texts(docs, left, ("doc_id",), "n int").collect()} == {0}
     assert viterbi.encode(docs, MODEL, ("doc_id", "text")).where("decoded = text").count() == 64
+
+
+def test_texts_come_in_small_batches(spark):
+    docs = spark.range(0, 5_000, 1, 1).selectExpr("id as doc_id", "'x' as text")
+
+    def sizes(texts):
+        import sys
+
+        return {"n": [sys._getframe(1).f_locals["batch"].num_rows] * len(texts)}
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert max(r["n"] for r in common.map_texts(docs, sizes, ("doc_id",), "n int").collect()) <= 1_024
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+        assert max(r["n"] for r in common.map_texts(docs, sizes, ("doc_id",), "n int").collect()) == 100
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
